@@ -43,3 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     not the stages before it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, per_core: int = 2) -> DataFrame:
+    """A plain scan of a few large splits, spread over the cores before costly work on its rows.
+    Scans that already have enough splits, as all large inputs have, are left alone."""
+    least = scan.sparkSession.sparkContext.defaultParallelism * per_core
+    return scan.repartition(least) if scan._jdf.queryExecution().toRdd().getNumPartitions() < least else scan
