@@ -5,13 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import leakage
+from quillspan.llm import leakage, names, unicode_form
 from quillspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of both tables under one key: record_table, record_key, text."""
+    b = table(spark, d, "blocks", "document_id", "block_id", "text").select(F.lit("blocks").alias("record_table"), F.concat_ws("/", "document_id", "block_id").alias("record_key"), "text")
+    v = table(spark, d, "label_rows", "row_id", "value_text").select(F.lit("label_rows").alias("record_table"), F.col("row_id").cast("string").alias("record_key"), F.col("value_text").alias("text"))
+    return b.unionByName(v)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a character that is not the usual one for what it reads as."""
+    found = unicode_form.unusual_texts(_records(spark, d), ["record_table", "record_key"], "text").filter("is_case")
+    return found.select("k.record_table", "k.record_key").distinct()
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's text in its usual form."""
+    return unicode_form.usual_form(_records(spark, d), ["record_table", "record_key"], "text")
+
+
+def p3_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Every name record with the person it means."""
+    mentions = names.name_mentions(table(spark, d, "people"), table(spark, d, "label_rows"), table(spark, d, "source_files"))
+    return names.link_names(mentions, "scope_id", "mention", "name")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.mention_pairs(p3_persons(spark, d), "scope_id", "mention")
+
+
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item, with the length of the passage."""
     return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
@@ -26,5 +55,8 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), p6_matches(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean}
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found, "p1_text": p1_text, "p3_found": p3_found, "p3_persons": p3_persons,
+    "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean,
+}
 SQL: dict[str, str] = {}

@@ -105,9 +105,15 @@ def character_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_rows()[0], _SCHEMA)
 
 
+def map_literal(entries: dict[str, str]) -> Column:
+    """A constant map column; the optimizer folds it into one literal."""
+    keys, values = ("\x1f".join(x) for x in (entries.keys(), entries.values()))
+    return F.map_from_arrays(F.split(F.lit(keys), "\x1f"), F.split(F.lit(values), "\x1f"))
+
+
 def _compose(parts: Column) -> Column:
     """Marks ordered by class behind their letter, then composed: one string."""
-    pairs = F.create_map(*[F.lit(x) for kv in _rows()[1].items() if not "가" <= kv[1] <= "힣" for x in kv])
+    pairs = map_literal({k: v for k, v in _rows()[1].items() if not "가" <= v <= "힣"})
 
     def code(c: Column) -> Column:
         return F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")
