@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import leakage, names, unicode_form
+from quillspan.llm import leakage, mixture, names, subjects, unicode_form
 from quillspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,27 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), p6_matches(spark, d))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of the sources, slot by slot."""
+    return mixture.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixture.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of every document with the weight of the stretch devoted to them."""
+    return subjects.find_subjects(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "subject_labels", "doc_id", "subject"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_text": p1_text, "p3_found": p3_found, "p3_persons": p3_persons,
-    "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean,
+    "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_subjects": p8_subjects,
 }
 SQL: dict[str, str] = {}
