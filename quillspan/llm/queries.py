@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import leakage, mixture, names, subjects, unicode_form
+from quillspan.llm import leakage, mixture, names, scans, subjects, unicode_form
 from quillspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.mention_pairs(p3_persons(spark, d), "scope_id", "mention")
 
 
+def _scan_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "blocks", "document_id", "block_id", "block_ord", "page_number", "extraction_method", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned blocks and their defects."""
+    return scans.find_defects(_scan_blocks(spark, d))
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text of scanned blocks, repaired."""
+    return scans.repaired(_scan_blocks(spark, d))
+
+
+def p4_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Text of figures, repaired from their lines."""
+    return scans.repaired_figures(table(spark, d, "figure_lines"), _scan_blocks(spark, d))
+
+
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item, with the length of the passage."""
     return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
@@ -76,6 +95,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_text": p1_text, "p3_found": p3_found, "p3_persons": p3_persons,
+    "p4_found": p4_found, "p4_text": p4_text, "p4_figures": p4_figures,
     "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_subjects": p8_subjects,
 }
 SQL: dict[str, str] = {}
