@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import leakage, mixture, names, scans, subjects, unicode_form
+from quillspan.llm import leakage, mixture, names, pii_crf, scans, subjects, unicode_form
 from quillspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,17 @@ def p1_text(spark: SparkSession, d: str) -> DataFrame:
     return unicode_form.usual_form(_records(spark, d), ["record_table", "record_key"], "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal values in block texts."""
+    return pii_crf.find_pii(table(spark, d, "blocks", "document_id", "block_id", "text"), table(spark, d, "entities", "document_id", "block_id", "span_start", "span_end", "entity_type", "confidence"))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """Block texts with a typed placeholder in place of every personal value."""
+    b = table(spark, d, "blocks", "document_id", "block_id", "text").dropDuplicates(["document_id", "block_id"])
+    return pii_crf.replace_spans(b, p2_found(spark, d)).select("document_id", "block_id", "clean_text")
+
+
 def p3_persons(spark: SparkSession, d: str) -> DataFrame:
     """Every name record with the person it means."""
     mentions = names.name_mentions(table(spark, d, "people"), table(spark, d, "label_rows"), table(spark, d, "source_files"))
@@ -94,7 +105,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found, "p1_text": p1_text, "p3_found": p3_found, "p3_persons": p3_persons,
+    "p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_persons": p3_persons,
     "p4_found": p4_found, "p4_text": p4_text, "p4_figures": p4_figures,
     "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_subjects": p8_subjects,
 }

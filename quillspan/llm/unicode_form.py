@@ -234,3 +234,8 @@ def usual_form(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     plain = base.filter(F.col("t").isNull() | ~F.col("t").rlike(_SPECIAL)).distinct().select("k", "t", F.col("t").alias("clean"), F.lit(False).alias("is_case"))
     both = plain.unionByName(unusual_texts(df, keys, text))
     return both.select(*[F.col("k")[k].alias(k) for k in keys], F.col("t").alias(text), F.col("clean").alias("clean_text"), "is_case")
+
+
+def look_alikes() -> dict[str, str]:
+    """Letters of other scripts that read as Latin ones, for readers that look at words themselves."""
+    return {**_CYRILLIC, **_GREEK}
