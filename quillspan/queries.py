@@ -5,21 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspan.operators import audit, context, evaluate, gate, redact, registry
+from quillspan.operators import lookups as L
+from quillspan.operators.detect import detect, raw_spans, redact_in_place
 from quillspan.operators.intervals import merge_intervals, valid_spans
-from quillspan.sources.tables import table
+from quillspan.operators.merge import merge_entities, risk, risk_summary, valid_entities
+from quillspan.operators.rules import CUSTOM_RULES, NAME_RULES, RULES
+from quillspan.plans import pipeline
+from quillspan.sources.tables import blocks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+_BY_NAME = {r.name: r for r in (*RULES, *CUSTOM_RULES, *NAME_RULES)}
+_BLOCK = ["document_id", "block_id"]
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Merged periods and gaps of the detected spans of every block."""
-    spans = valid_spans(
-        table(spark, d, "entities", "document_id", "block_id", "span_start", "span_end", "confidence"),
-        table(spark, d, "blocks", "document_id", "block_id", "text"),
-    )
-    return merge_intervals(spans, ["document_id", "block_id"], "span_start", "span_end")
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
 
+# ---- intervals ----
 
 P5_SQL = """
 WITH len AS (SELECT document_id, block_id, max(length(text)) AS n FROM blocks WHERE text IS NOT NULL GROUP BY document_id, block_id),
@@ -33,5 +47,451 @@ SELECT document_id, block_id, 'period' AS piece, s AS span_start, e AS span_end
 UNION ALL SELECT document_id, block_id, 'gap', s, e FROM x WHERE e > s
 """
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
-SQL: dict[str, str] = {"p5_found": P5_SQL}
+
+@query("p5_found", P5_SQL)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Merged periods and gaps of the detected spans of every block."""
+    spans = valid_spans(
+        table(spark, d, "entities", "document_id", "block_id", "span_start", "span_end", "confidence"),
+        table(spark, d, "blocks", "document_id", "block_id", "text"),
+    )
+    return merge_intervals(spans, ["document_id", "block_id"], "span_start", "span_end")
+
+
+# ---- detection rules ----
+
+_B = "(SELECT document_id, block_id, any_value(text) AS text FROM blocks WHERE text IS NOT NULL GROUP BY document_id, block_id)"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+_LUHN = r"""
+  length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN (length(dg) - i) % 2 = 1
+    THEN (CASE WHEN CAST(dg[i] AS INT) > 4 THEN CAST(dg[i] AS INT) * 2 - 9 ELSE CAST(dg[i] AS INT) * 2 END) ELSE CAST(dg[i] AS INT) END)) % 10 = 0
+  AND ((left(dg, 1) = '4' AND length(dg) IN (13, 16, 19)) OR ((left(dg, 2) BETWEEN '51' AND '55' OR left(dg, 4) BETWEEN '2221' AND '2720') AND length(dg) = 16)
+    OR (left(dg, 2) IN ('34', '37') AND length(dg) = 15) OR ((left(dg, 4) = '6011' OR left(dg, 2) = '65' OR left(dg, 3) BETWEEN '644' AND '649') AND length(dg) BETWEEN 16 AND 19)
+    OR (left(dg, 4) BETWEEN '3528' AND '3589' AND length(dg) BETWEEN 16 AND 19) OR ((left(dg, 2) IN ('36', '38', '39') OR left(dg, 3) BETWEEN '300' AND '305') AND length(dg) BETWEEN 14 AND 19)
+    OR (left(dg, 2) = '62' AND length(dg) BETWEEN 16 AND 19))
+"""
+_PESEL = r"""
+  (10 - list_sum(list_transform(range(1, 11), lambda i: CAST(value[i] AS INT) * [1, 3, 7, 9, 1, 3, 7, 9, 1, 3][i])) % 10) % 10 = CAST(value[11] AS INT)
+  AND CAST(value[3:4] AS INT) % 20 BETWEEN 1 AND 12 AND CAST(value[3:4] AS INT) // 20 BETWEEN 0 AND 4 AND CAST(value[5:6] AS INT) BETWEEN 1 AND 31
+"""
+# rule: (pattern of RE2, group, condition); rules with look-behind have none and are tested against brute force
+_RULE_SQL: dict[str, tuple[str, int, str]] = {
+    "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", 0, "left(value, 3) NOT IN ('000', '666') AND value[5:6] <> '00' AND right(value, 4) <> '0000'"),
+    "ip": (rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b", 0, "true"),
+    "iban": (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]{0,16})\b", 0, "true"),
+    "in_pan": (r"\b[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z]\b", 0, "true"),
+    "passport": (r"(?i:\bpassport(?:\s+(?:no\.?|number|#))?)[\s:#]*([A-Z]{1,2}\d{6,8})\b", 1, "true"),
+    "account_ending": (r"(?i:\b(?:card|account|acct|a/c)\b[^.\n]{0,40}?\b(?:ending|ends)(?:\s+(?:in|with))?)\s+(\d{4})\b", 1, "true"),
+    "us_address": (_BY_NAME["us_address"].pattern, 0, "true"),
+    "pesel_checksum": (r"(?:^|[^\d-])(\d{11})(?:[^\d-]|$)", 1, _PESEL),
+    "credit_card": (r"\b(?:\d{4}[-\s]?){3}\d{4}\b|\b3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}\b|\b\d{13,19}\b", 0, _LUHN),
+}
+
+
+def _rule_query(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        b = blocks(spark, d, "document_id", "block_id", "text")
+        found = raw_spans(b, [_BY_NAME[name]]).join(b, _BLOCK)
+        return found.groupBy("document_id", "block_id", F.expr("substring(text, span_start + 1, span_end - span_start)").alias("value")).agg(F.count("*").alias("n"))
+
+    run.__doc__ = f"Values that the rule {name} finds in blocks."
+    return run
+
+
+for _r in (*RULES, *CUSTOM_RULES, *NAME_RULES):
+    _sql = None
+    if _r.name in _RULE_SQL:
+        _p, _g, _cond = _RULE_SQL[_r.name]
+        _quoted = _p.replace("'", "''")
+        _sql = f"SELECT document_id, block_id, value, count(*) AS n FROM (SELECT document_id, block_id, unnest(regexp_extract_all(text, '{_quoted}', {_g})) AS value FROM {_B}), LATERAL (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS dg) WHERE {_cond} GROUP BY document_id, block_id, value"
+    query(f"rule_{_r.name}", _sql)(_rule_query(_r.name))
+
+
+@query("entities_detected")
+def entities_detected(spark: SparkSession, d: str) -> DataFrame:
+    """What all rules find in blocks, merged."""
+    return detect(blocks(spark, d, "document_id", "block_id", "text"))
+
+
+@query("redacted_generic")
+def redacted_generic(spark: SparkSession, d: str) -> DataFrame:
+    """Block texts with generic placeholders."""
+    return redact_in_place(blocks(spark, d, "document_id", "block_id", "text")).select("document_id", "block_id", "sanitized", "n_redacted")
+
+
+@query("pii_by_type_and_risk")
+def pii_by_type_and_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Detections by type and tier: the flagship."""
+    return pipeline.summary(pipeline.run(blocks(spark, d), table(spark, d, "source_files")))
+
+
+@query("pipeline_gate")
+def pipeline_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every document after one pass of detection, redaction and check."""
+    return pipeline.run(blocks(spark, d), table(spark, d, "source_files")).gate
+
+
+# ---- merge, risk, tokens, redaction over recorded entities ----
+
+_VALID = """len AS (SELECT DISTINCT document_id, block_id, length(text) AS n FROM blocks WHERE text IS NOT NULL),
+valid AS (SELECT DISTINCT document_id, block_id, span_start, span_end, upper(regexp_replace(trim(entity_type), '[\\s-]+', '_', 'g')) AS entity_type, confidence, coalesce(detector, '') AS detector
+  FROM entities JOIN len USING (document_id, block_id) WHERE span_start >= 0 AND span_end > span_start AND span_end <= n AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 AND entity_type IS NOT NULL)"""
+_SPEC = L.sql_case("entity_type", L.SPECIFICITY, "'0'")
+_MERGED = f"""{_VALID},
+isl AS (SELECT *, CASE WHEN span_start < max(span_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM valid WINDOW w AS (PARTITION BY document_id, block_id ORDER BY span_start, span_end, entity_type, confidence, detector)),
+num AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id, block_id ORDER BY span_start, span_end, entity_type, confidence, detector ROWS UNBOUNDED PRECEDING) AS part FROM isl),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id, block_id, part ORDER BY CAST({_SPEC} AS INT) DESC, confidence DESC, span_end - span_start DESC, span_start, entity_type, detector) AS r FROM num),
+merged AS (SELECT document_id, block_id, min(span_start) AS span_start, max(span_end) AS span_end, max(CASE WHEN r = 1 THEN entity_type END) AS entity_type, max(CASE WHEN r = 1 THEN confidence END) AS confidence,
+  array_to_string(list_sort(list_filter(list_distinct(flatten(list(regexp_split_to_array(detector, '[|,]')))), lambda x: trim(x) <> '')), '|') AS detector FROM ranked GROUP BY document_id, block_id, part)"""
+_CANON = L.sql_case("upper(trim(entity_type))", L.CANONICAL, "upper(trim(entity_type))")
+_RISK = L.sql_case("upper(entity_type)", L.RISK, "'MEDIUM'")
+_VALUES = f"""{_MERGED},
+bl AS (SELECT DISTINCT document_id, block_id, block_ord, text FROM blocks),
+sf AS (SELECT DISTINCT document_id, scope_id, doc_ord FROM source_files),
+vals AS (SELECT m.*, scope_id, doc_ord, block_ord, {_CANON} AS canonical_type, substring(text, span_start + 1, span_end - span_start) AS value FROM merged m JOIN bl USING (document_id, block_id) JOIN sf USING (document_id)),
+ident AS (SELECT *, CASE WHEN canonical_type = 'EMAIL' AND contains(trim(value), '@') THEN regexp_extract(trim(value), '(?s)^(.*@)[^@]*$', 1) || lower(regexp_extract(trim(value), '([^@]*)$', 1)) ELSE trim(value) END AS identity FROM vals),
+firsts AS (SELECT scope_id, canonical_type, identity, min((doc_ord, block_ord, span_start)) AS pos, count(*) AS uses FROM ident GROUP BY scope_id, canonical_type, identity),
+tok AS (SELECT scope_id, canonical_type, identity, uses, row_number() OVER (PARTITION BY scope_id, canonical_type ORDER BY pos, identity) AS n FROM firsts),
+tokens AS (SELECT *, '[' || canonical_type || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || ']' AS token FROM tok)"""
+_SANITIZED = f"""{_VALUES},
+marks AS (SELECT i.document_id, i.block_id, i.span_start AS s, i.span_end AS e, token, lag(i.span_end, 1, 0) OVER (PARTITION BY i.document_id, i.block_id ORDER BY i.span_start) AS before FROM ident i JOIN tokens USING (scope_id, canonical_type, identity)),
+cut AS (SELECT document_id, block_id, string_agg(substring(text, before + 1, s - before) || token, '' ORDER BY s) || substring(any_value(text), max(e) + 1) AS t FROM marks JOIN bl USING (document_id, block_id) GROUP BY document_id, block_id),
+sanitized AS (SELECT document_id, block_id, block_ord, coalesce(t, text) AS sanitized FROM bl LEFT JOIN cut USING (document_id, block_id))"""
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return merge_entities(valid_entities(table(spark, d, "entities", "document_id", "block_id", "span_start", "span_end", "entity_type", "confidence", "detector"), table(spark, d, "blocks", "document_id", "block_id", "text")))
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return redact.values(_merged(spark, d), blocks(spark, d, "document_id", "block_id", "block_ord", "text"), table(spark, d, "source_files", "document_id", "scope_id", "doc_ord"))
+
+
+def _sanitized(spark: SparkSession, d: str) -> DataFrame:
+    v = _values(spark, d)
+    return redact.sanitized(blocks(spark, d, "document_id", "block_id", "block_ord", "text"), v, redact.tokens(v))
+
+
+@query("val0_valid_entities", f"WITH {_VALID} SELECT * FROM valid")
+def val0_valid_entities(spark: SparkSession, d: str) -> DataFrame:
+    return valid_entities(table(spark, d, "entities"), table(spark, d, "blocks", "document_id", "block_id", "text"))
+
+
+@query("mrg1_entities_merged", f"WITH {_MERGED} SELECT * FROM merged")
+def mrg1_entities_merged(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d)
+
+
+@query("rsk1_entity_risk", f"WITH {_MERGED} SELECT document_id, block_id, span_start, entity_type, {_RISK} AS risk_level FROM merged")
+def rsk1_entity_risk(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("document_id", "block_id", "span_start", "entity_type", risk(F.col("entity_type")).alias("risk_level"))
+
+
+@query("rsk2_risk_summary", f"WITH {_MERGED}, t AS (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM']) AS risk_level) SELECT t.risk_level, count(m.risk_level) AS n FROM t LEFT JOIN (SELECT {_RISK} AS risk_level FROM merged) m USING (risk_level) GROUP BY t.risk_level")
+def rsk2_risk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return risk_summary(_merged(spark, d))
+
+
+@query("red1_placeholders", f"WITH {_MERGED} SELECT '[' || {_CANON} || ']' AS placeholder, count(*) AS n FROM merged GROUP BY 1")
+def red1_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).groupBy(F.concat(F.lit("["), redact.canonical(F.col("entity_type")), F.lit("]")).alias("placeholder")).agg(F.count("*").alias("n"))
+
+
+@query("red2_identities", f"WITH {_VALUES} SELECT document_id, block_id, span_start, canonical_type, identity FROM ident")
+def red2_identities(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d).select("document_id", "block_id", "span_start", "canonical_type", "identity")
+
+
+@query("red3_tokens", f"WITH {_VALUES} SELECT scope_id, canonical_type, identity, token, n, uses FROM tokens")
+def red3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return redact.tokens(_values(spark, d))
+
+
+@query("red5_sanitized", f"WITH {_SANITIZED} SELECT * FROM sanitized")
+def red5_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return _sanitized(spark, d)
+
+
+@query("red9_pairs", f"WITH {_VALUES} SELECT DISTINCT scope_id, value, token FROM ident JOIN tokens USING (scope_id, canonical_type, identity) WHERE length(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3")
+def red9_pairs(spark: SparkSession, d: str) -> DataFrame:
+    v = _values(spark, d)
+    return redact.replacement_pairs(v, redact.tokens(v))
+
+
+@query("snk1_payload", f"WITH {_SANITIZED} SELECT document_id, string_agg(sanitized, chr(10) ORDER BY block_ord, block_id) AS payload, count(*) AS n_blocks FROM sanitized WHERE trim(sanitized) <> '' GROUP BY document_id")
+def snk1_payload(spark: SparkSession, d: str) -> DataFrame:
+    return redact.payload(_sanitized(spark, d))
+
+
+@query("snk2_approved_counts", r"""
+WITH f AS (SELECT DISTINCT document_id FROM source_files WHERE gate_status = 'APPROVED'),
+t AS (SELECT document_id, string_agg(text, chr(10) ORDER BY block_ord, block_id) AS p FROM (SELECT DISTINCT document_id, block_id, block_ord, text FROM blocks) WHERE trim(text) <> '' GROUP BY document_id)
+SELECT document_id, length(p) AS characters, length(p) - length(replace(p, chr(10), '')) + 1 AS lines, len(regexp_extract_all(p, '\[[A-Z][A-Z_]*(?:_\d+)?\]')) AS tokens, len(list_distinct(regexp_extract_all(p, '\[[A-Z][A-Z_]*(?:_\d+)?\]'))) AS distinct_tokens FROM t JOIN f USING (document_id)""")
+def snk2_approved_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What an approved document hands on: characters, lines, placeholders."""
+    ok = table(spark, d, "source_files", "document_id", "gate_status").filter("gate_status = 'APPROVED'").select("document_id").distinct()
+    p = redact.payload(blocks(spark, d, "document_id", "block_id", "block_ord", "text"), "text").join(ok, "document_id", "left_semi")
+    tokens = F.regexp_extract_all("payload", F.lit(r"\[[A-Z][A-Z_]*(?:_\d+)?\]"), 0)
+    return p.select("document_id", F.length("payload").alias("characters"), F.size(F.split("payload", "\n", -1)).alias("lines"), F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("distinct_tokens"))
+
+
+# ---- gate ----
+
+@query("gate1_extraction", """
+WITH f AS (SELECT DISTINCT document_id, ocr_failed_pages FROM source_files)
+SELECT document_id, CASE WHEN len(list_filter(coalesce(ocr_failed_pages, []), lambda p: p IS NULL OR p <= 0)) > 0 THEN 'invalid page list' WHEN len(coalesce(ocr_failed_pages, [])) > 0 THEN 'extraction incomplete' ELSE 'no residual data' END AS reason,
+CASE WHEN len(coalesce(ocr_failed_pages, [])) > 0 THEN 'BLOCKED' ELSE 'APPROVED' END AS status FROM f""")
+def gate1_extraction(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "document_id string, block_id string, detector string")
+    return gate.decide(table(spark, d, "source_files", "document_id", "ocr_failed_pages"), none).select("document_id", "reason", "status")
+
+
+@query("gate3_placeholders", rf"""
+WITH t AS (SELECT document_id, block_id, text, scope_id FROM {_B} JOIN (SELECT DISTINCT document_id, scope_id FROM source_files) USING (document_id)),
+iss AS (SELECT DISTINCT scope_id, placeholder FROM redactions JOIN (SELECT DISTINCT document_id, scope_id FROM source_files) USING (document_id)),
+n AS (SELECT document_id, block_id, scope_id, unnest(regexp_extract_all(text, '\[[A-Z][A-Z_]*_\d+\]')) AS value FROM t)
+SELECT document_id, block_id, value, count(*) AS n, coalesce(value IN (SELECT placeholder FROM iss WHERE iss.scope_id = n.scope_id AND placeholder IS NOT NULL), false) AS issued FROM n GROUP BY document_id, block_id, value, scope_id""")
+def gate3_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered placeholders in texts, and whether their scope issued them."""
+    scope = table(spark, d, "source_files", "document_id", "scope_id").distinct()
+    seen = blocks(spark, d, "document_id", "block_id", "text").join(scope, "document_id").select("document_id", "block_id", "scope_id", F.explode(F.regexp_extract_all("text", F.lit(gate.NUMBERED), 0)).alias("value"))
+    issued = table(spark, d, "redactions", "document_id", "placeholder").join(scope, "document_id").select("scope_id", F.col("placeholder").alias("value")).distinct().withColumn("issued", F.lit(True))
+    return seen.groupBy("document_id", "block_id", "scope_id", "value").agg(F.count("*").alias("n")).join(issued, ["scope_id", "value"], "left").select("document_id", "block_id", "value", "n", F.coalesce("issued", F.lit(False)).alias("issued"))
+
+
+@query("gate5_residuals")
+def gate5_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What the independent checks find in the sanitized texts."""
+    v = _values(spark, d)
+    issued = redact.tokens(v)
+    scope = table(spark, d, "source_files", "document_id", "scope_id").distinct()
+    return gate.residuals(_sanitized(spark, d).join(scope, "document_id"), issued)
+
+
+@query("gate5d_email_shapes", rf"""
+SELECT document_id, block_id, value, count(*) AS n FROM (SELECT document_id, block_id, unnest(regexp_extract_all(text, '{gate.EMAIL_SHAPE}')) AS value FROM {_B})
+WHERE NOT (regexp_matches(regexp_extract(value, '^([^@]*)@', 1), '\s$') OR regexp_matches(regexp_extract(value, '(?s)@(.*)$', 1), '^\s')) OR regexp_matches(regexp_extract(value, '^([^@]*)@', 1), '\p{{L}}') GROUP BY document_id, block_id, value""")
+def gate5d_email_shapes(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d, "document_id", "block_id", "text")
+    v = b.select("document_id", "block_id", F.explode(F.regexp_extract_all("text", F.lit(gate.EMAIL_SHAPE), 0)).alias("value"))
+    return v.filter(gate.email_shape_ok(F.col("value"))).groupBy("document_id", "block_id", "value").agg(F.count("*").alias("n"))
+
+
+@query("gate9_decision", f"""
+WITH {_MERGED}, f AS (SELECT DISTINCT document_id, ocr_failed_pages FROM source_files), n AS (SELECT document_id, count(*) AS residual_count FROM merged WHERE contains(detector, 'context:') GROUP BY document_id)
+SELECT document_id, coalesce(residual_count, 0) AS residual_count, CASE WHEN len(coalesce(ocr_failed_pages, [])) > 0 OR coalesce(residual_count, 0) > 0 THEN 'BLOCKED' ELSE 'APPROVED' END AS status FROM f LEFT JOIN n USING (document_id)""")
+def gate9_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Status of documents when detections from context count as residuals."""
+    left = _merged(spark, d).filter(F.col("detector").contains("context:"))
+    return gate.decide(table(spark, d, "source_files", "document_id", "ocr_failed_pages"), left).select("document_id", "residual_count", "status")
+
+
+# ---- audit and files ----
+
+_LOC = """CASE WHEN extraction_method = 'embedded_image_ocr' THEN 'image' WHEN kind IN ('header', 'footer', 'text_box', 'notes') THEN kind WHEN kind = 'table_cell' THEN 'table' WHEN extraction_method = 'ocr' THEN 'scanned_page' ELSE 'body' END"""
+_CATEGORY = "CASE WHEN entity_type IN (" + ", ".join(f"'{c}'" for c in audit.CATEGORIES) + ") THEN entity_type ELSE 'OTHER' END"
+_COUNTS = f"""{_MERGED}, bk AS (SELECT DISTINCT document_id, block_id, {_LOC} AS loc FROM blocks), j AS (SELECT m.*, loc FROM merged m LEFT JOIN bk USING (document_id, block_id))"""
+
+
+@query("aud_counts", f"""
+WITH {_COUNTS}
+SELECT document_id, 'category' AS dimension, {_CATEGORY} AS value, count(*) AS n FROM j GROUP BY 1, 2, 3
+UNION ALL SELECT document_id, 'location', coalesce(loc, 'unknown'), count(*) FROM j GROUP BY 1, 2, 3
+UNION ALL SELECT document_id, 'risk', {_RISK}, count(*) FROM j GROUP BY 1, 2, 3""")
+def aud_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.counts_by(_merged(spark, d), blocks(spark, d, "document_id", "block_id", "extraction_method", "kind"))
+
+
+@query("aud_reports")
+def aud_reports(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON report a document."""
+    none = spark.createDataFrame([], "document_id string, block_id string, detector string")
+    return audit.report(_merged(spark, d), blocks(spark, d, "document_id", "block_id", "extraction_method", "kind"), gate.decide(table(spark, d, "source_files", "document_id", "ocr_failed_pages"), none))
+
+
+_WHERE = "CASE WHEN image_name IS NOT NULL AND image_name <> '' THEN 'image ' || image_name WHEN kind IN ('header', 'footer', 'text_box') THEN replace(kind, '_', ' ') WHEN kind = 'notes' THEN 'notes' END"
+_PLACE = f"""CASE WHEN {_WHERE} IS NULL AND page_number IS NOT NULL THEN 'p.' || page_number WHEN {_WHERE} IS NULL AND kind = 'table_cell' AND table_number IS NOT NULL AND slide_number IS NULL THEN 'table ' || table_number
+ WHEN {_WHERE} IS NULL AND paragraph_number IS NOT NULL THEN 'para ' || paragraph_number WHEN slide_number IS NOT NULL THEN 'slide ' || slide_number || coalesce(' ' || {_WHERE}, '') ELSE coalesce({_WHERE}, 'body') END"""
+_PLACES = f"""b AS (SELECT DISTINCT document_id, block_id, block_ord, {_PLACE} AS location FROM blocks),
+f AS (SELECT DISTINCT document_id, scope_id, doc_ord, file_name FROM source_files),
+r AS (SELECT DISTINCT document_id, block_id, placeholder, upper(regexp_replace(trim(entity_type), '[\\s-]+', '_', 'g')) AS entity_type FROM redactions WHERE placeholder IS NOT NULL),
+g AS (SELECT scope_id, placeholder, file_name, coalesce(location, 'unknown') AS location, min((doc_ord, block_ord)) AS pos, min({_CANON}) AS entity_type FROM r JOIN f USING (document_id) LEFT JOIN b USING (document_id, block_id) GROUP BY 1, 2, 3, 4),
+places AS (SELECT scope_id, placeholder, entity_type, file_name, location, row_number() OVER (PARTITION BY scope_id, placeholder ORDER BY pos, file_name, location) AS n FROM g)"""
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d, "document_id", "block_id", "block_ord", "image_name", "kind", "page_number", "slide_number", "table_number", "paragraph_number")
+    return audit.token_places(table(spark, d, "redactions"), b, table(spark, d, "source_files"))
+
+
+@query("xf1_token_places", f"WITH {_PLACES} SELECT * FROM places")
+def xf1_token_places(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d)
+
+
+@query("xf2_block_places", f"SELECT DISTINCT document_id, block_id, {_PLACE} AS location FROM blocks")
+def xf2_block_places(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d, "document_id", "block_id", "image_name", "kind", "page_number", "slide_number", "table_number", "paragraph_number")
+    return b.select("document_id", "block_id", audit.location_text(*(F.col(c) for c in ("image_name", "kind", "page_number", "slide_number", "table_number", "paragraph_number"))).alias("location"))
+
+
+@query("xf4_places_text", f"""
+WITH {_PLACES}, byf AS (SELECT scope_id, placeholder, file_name, min(n) AS n, file_name || ' ' || string_agg(location, ', ' ORDER BY n) AS t FROM places GROUP BY scope_id, placeholder, file_name)
+SELECT scope_id, placeholder, string_agg(t, '; ' ORDER BY n) AS places, count(*) AS n_files FROM byf GROUP BY scope_id, placeholder""")
+def xf4_places_text(spark: SparkSession, d: str) -> DataFrame:
+    return audit.places_text(_places(spark, d))
+
+
+# ---- context and registry ----
+
+@query("ctx_headers", """
+WITH c AS (SELECT DISTINCT document_id, block_id, text, page_number, slide_number, table_number, row_number, column_number FROM blocks WHERE kind = 'table_cell' AND row_number IS NOT NULL AND column_number IS NOT NULL)
+SELECT document_id, block_id, header FROM (SELECT document_id, block_id, row_number, max(CASE WHEN row_number = 1 THEN text END) OVER (PARTITION BY document_id, page_number, slide_number, table_number, column_number) AS header FROM c) WHERE row_number > 1""")
+def ctx_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Table cells with the header of their column."""
+    return gate.column_headers(_cells(spark, d)).select("document_id", "block_id", "header")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return blocks(spark, d, "document_id", "block_id", "block_ord", "text", "kind", "page_number", "slide_number", "table_number", "row_number", "column_number")
+
+
+@query("ctx1_header_phones")
+def ctx1_header_phones(spark: SparkSession, d: str) -> DataFrame:
+    return context.header_phones(_cells(spark, d))
+
+
+@query("ctx2_header_personnel")
+def ctx2_header_personnel(spark: SparkSession, d: str) -> DataFrame:
+    return context.header_personnel(_cells(spark, d))
+
+
+@query("ctx3_role_names")
+def ctx3_role_names(spark: SparkSession, d: str) -> DataFrame:
+    return context.role_names(_cells(spark, d))
+
+
+@query("ctx4_split_country_codes")
+def ctx4_split_country_codes(spark: SparkSession, d: str) -> DataFrame:
+    b = _cells(spark, d)
+    return context.split_country_codes(b, detect(b, [r for r in RULES if r.entity_type == "PHONE_NUMBER"]))
+
+
+@query("reg1_email_names", r"""
+WITH l AS (SELECT document_id, block_ord, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 1)) AS loc, generate_subscripts(regexp_extract_all(text, '([A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 1), 1) AS i
+  FROM (SELECT DISTINCT document_id, block_id, block_ord, text FROM blocks WHERE text IS NOT NULL)),
+p AS (SELECT document_id, block_ord, i, list_filter(regexp_split_to_array(loc, '[._-]'), lambda x: regexp_matches(x, '^\p{L}+$')) AS q FROM l)
+SELECT document_id, lower(q[-1]) AS surname, arg_min(lower(q[1][1]), (block_ord, i)) AS initial FROM p WHERE len(q) >= 2 AND length(q[-1]) >= 3 GROUP BY 1, 2""")
+def reg1_email_names(spark: SparkSession, d: str) -> DataFrame:
+    return registry.email_names(blocks(spark, d, "document_id", "block_id", "block_ord", "text"))
+
+
+@query("reg2_honorific_surnames", r"""SELECT DISTINCT document_id, unnest(regexp_extract_all(text, '\b(?:Mr|Ms|Mrs|Miss|Mx|Dr|Prof)\.?\s+([A-Z][a-z]+(?:-[A-Z][a-z]+)?)(?:[^\p{L}\p{N}_]|$)', 1)) AS surname FROM blocks WHERE text IS NOT NULL""")
+def reg2_honorific_surnames(spark: SparkSession, d: str) -> DataFrame:
+    return registry.honorific_surnames(blocks(spark, d, "document_id", "block_id", "text"))
+
+
+@query("reg5_people_merged")
+def reg5_people_merged(spark: SparkSession, d: str) -> DataFrame:
+    return registry.merge_people(table(spark, d, "people"))
+
+
+@query("reg7_sweep")
+def reg7_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Registered names of each scope in its texts."""
+    scope = table(spark, d, "source_files", "document_id", "scope_id").distinct()
+    t = blocks(spark, d, "document_id", "block_id", "text").filter("text is not null").join(scope, "document_id")
+    return registry.sweep(t, registry.merge_people(table(spark, d, "people")))
+
+
+# ---- evaluation ----
+
+_TRUTH = """lab AS (SELECT DISTINCT row_id, document_id, CASE entity_type WHEN 'EMAIL' THEN 'EMAIL' ELSE entity_type END AS kind, lower(trim(value_text)) AS value FROM label_rows JOIN (SELECT DISTINCT document_id, file_name FROM source_files) USING (file_name) WHERE value_text IS NOT NULL)"""
+
+
+@query("ev1_rates", f"""
+WITH {_VALUES}, {_TRUTH}, t AS (SELECT DISTINCT document_id, kind, value FROM lab), g AS (SELECT DISTINCT document_id, canonical_type AS kind, lower(trim(value)) AS value FROM vals WHERE canonical_type IN ('PERSON', 'EMAIL', 'PHONE', 'GOVERNMENT_ID', 'ADDRESS')),
+c AS (SELECT kind, sum(CASE WHEN t.document_id IS NOT NULL AND g.document_id IS NOT NULL THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN t.document_id IS NULL THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN g.document_id IS NULL THEN 1 ELSE 0 END) AS fn FROM t FULL JOIN g USING (document_id, kind, value) GROUP BY kind),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) WHEN fn = 0 THEN 1.0 ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS recall FROM c)
+SELECT kind, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""")
+def ev1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded detections against labels, by distinct value of a document."""
+    t = _labels(spark, d).select("document_id", F.col("entity_type").alias("kind"), F.lower(F.trim("value_text")).alias("value")).distinct().withColumn("t", F.lit(1))
+    g = _values(spark, d).select("document_id", F.col("canonical_type").alias("kind"), F.lower(F.trim("value")).alias("value")).filter(F.col("kind").isin("PERSON", "EMAIL", "PHONE", "GOVERNMENT_ID", "ADDRESS")).distinct().withColumn("g", F.lit(1))
+    c = t.join(g, ["document_id", "kind", "value"], "full").groupBy("kind").agg(F.sum((F.col("t").isNotNull() & F.col("g").isNotNull()).cast("long")).alias("tp"), F.sum(F.col("t").isNull().cast("long")).alias("fp"), F.sum(F.col("g").isNull().cast("long")).alias("fn"))
+    return evaluate.rates(c)
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "source_files", "document_id", "file_name").distinct()
+    return table(spark, d, "label_rows", "row_id", "file_name", "entity_type", "value_text", "location_type", "uncertain").filter("value_text is not null").distinct().join(files, "file_name")
+
+
+@query("ev2_one_to_one")
+def ev2_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.match_one_to_one(_labels(spark, d).select("document_id", "entity_type", F.col("value_text").alias("value")), _values(spark, d).select("document_id", F.col("canonical_type").alias("entity_type"), "value"))
+
+
+@query("ev3_structure", f"""
+WITH {_SANITIZED}, o AS (SELECT DISTINCT document_id, block_id, text FROM blocks)
+SELECT document_id, avg(CASE WHEN trim(coalesce(text, '')) = '' OR trim(coalesce(sanitized, '')) <> '' THEN 1.0 ELSE 0.0 END) AS kept FROM o JOIN sanitized USING (document_id, block_id) GROUP BY document_id""")
+def ev3_structure(spark: SparkSession, d: str) -> DataFrame:
+    o = blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "paragraph_number")
+    s = _sanitized(spark, d).withColumnRenamed("sanitized", "text").join(o.drop("text", "block_ord"), _BLOCK)
+    return evaluate.structure_kept(o, s)
+
+
+@query("ev4_page_offsets", """
+WITH b AS (SELECT DISTINCT document_id, block_id, block_ord, length(coalesce(text, '')) AS n, CASE WHEN image_name IS NOT NULL AND image_name <> '' THEN image_name ELSE coalesce(CAST(page_number AS VARCHAR), CAST(slide_number AS VARCHAR), '') END AS page_key FROM blocks),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, page_key ORDER BY block_ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM b)
+SELECT document_id, page_key, block_id, CAST(so_far + sum(CASE WHEN so_far > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_key ORDER BY block_ord, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS offset FROM c""")
+def ev4_page_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.page_offsets(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
+
+
+@query("ev7_labels_found")
+def ev7_labels_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of every label's value in its document."""
+    pages = evaluate.page_texts(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
+    return evaluate.labels_found(_labels(spark, d), pages)
+
+
+@query("ev10_slices", f"""
+WITH {_VALUES}, {_TRUTH}, g AS (SELECT DISTINCT document_id, canonical_type AS kind, lower(trim(value)) AS value FROM vals),
+j AS (SELECT DISTINCT row_id, document_id, entity_type, coalesce(location_type, '') AS location, coalesce(uncertain, false) AS residual, lower(trim(value_text)) AS value FROM label_rows JOIN (SELECT DISTINCT document_id, file_name FROM source_files) USING (file_name) WHERE value_text IS NOT NULL),
+q AS (SELECT j.*, g.document_id IS NOT NULL AS detected FROM j LEFT JOIN g ON j.document_id = g.document_id AND j.entity_type = g.kind AND j.value = g.value),
+s AS (SELECT entity_type, location, GROUPING(entity_type) AS a, GROUPING(location) AS b, count(*) AS occurrences, sum(CAST(detected AS INT)) AS detected, sum(CAST(residual AS INT)) AS residual FROM q GROUP BY GROUPING SETS ((), (entity_type), (location)))
+SELECT CASE WHEN a = 1 AND b = 1 THEN 'overall' WHEN a = 0 THEN 'type' ELSE 'location' END AS slice, coalesce(CASE WHEN a = 0 THEN entity_type WHEN b = 0 THEN location END, '') AS value, occurrences, CAST(detected AS BIGINT) AS detected, CAST(residual AS BIGINT) AS residual, detected / occurrences AS recall, residual / occurrences AS residual_rate FROM s""")
+def ev10_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and doubtful labels over all, by type and by location in one pass."""
+    g = _values(spark, d).select("document_id", F.col("canonical_type").alias("entity_type"), F.lower(F.trim("value")).alias("v")).distinct().withColumn("detected", F.lit(True))
+    j = _labels(spark, d).withColumn("v", F.lower(F.trim("value_text"))).join(g, ["document_id", "entity_type", "v"], "left")
+    rows = j.select("entity_type", F.lit("all").alias("channel"), F.coalesce("location_type", F.lit("")).alias("location"), F.coalesce("detected", F.lit(False)).alias("detected"), F.coalesce("uncertain", F.lit(False)).alias("residual"))
+    return evaluate.slices(rows).filter("slice <> 'channel'")
+
+
+@query("ev12_coverage", f"""
+WITH {_SANITIZED}, a AS (SELECT document_id, w, count(*) AS a FROM (SELECT document_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM bl WHERE text IS NOT NULL) GROUP BY 1, 2),
+b AS (SELECT document_id, w, count(*) AS b FROM (SELECT document_id, unnest(regexp_extract_all(lower(sanitized), '[\\p{{L}}\\p{{N}}]+')) AS w FROM sanitized WHERE sanitized IS NOT NULL) GROUP BY 1, 2)
+SELECT document_id, sum(length(w) * least(a, coalesce(b, 0))) / sum(length(w) * a) AS coverage FROM a LEFT JOIN b USING (document_id, w) GROUP BY document_id""")
+def ev12_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document's text the sanitized text still holds."""
+    return evaluate.character_coverage(blocks(spark, d, "document_id", "block_id", "text"), _sanitized(spark, d).withColumnRenamed("sanitized", "text"))
+
+
+@query("ev14_cells_kept", f"""
+WITH {_SANITIZED}, c AS (SELECT DISTINCT document_id, block_id, table_number, row_number, column_number, text FROM blocks WHERE kind = 'table_cell' AND table_number IS NOT NULL AND row_number IS NOT NULL AND column_number IS NOT NULL),
+r AS (SELECT document_id, table_number, row_number, column_number, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS v FROM c), x AS (SELECT DISTINCT document_id, table_number, row_number, column_number, regexp_replace(lower(sanitized), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS v FROM c JOIN sanitized USING (document_id, block_id))
+SELECT document_id, avg(CASE WHEN x.v IS NOT NULL THEN 1.0 ELSE 0.0 END) AS kept, count(*) AS cells FROM r LEFT JOIN x USING (document_id, table_number, row_number, column_number, v) WHERE r.v <> '' GROUP BY document_id""")
+def ev14_cells_kept(spark: SparkSession, d: str) -> DataFrame:
+    place = ["document_id", "table_number", "row_number", "column_number"]
+    c = blocks(spark, d, *place, "block_id", "text", "kind").filter("kind = 'table_cell' and table_number is not null and row_number is not null and column_number is not null")
+    return evaluate.cells_kept(c, c.drop("text").join(_sanitized(spark, d).withColumnRenamed("sanitized", "text"), _BLOCK), place)
+
+
+@query("ev15_substring_distance")
+def ev15_substring_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Edits between every name label and the nearest stretch of each page of its document."""
+    pages = evaluate.page_texts(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
+    j = _labels(spark, d).filter("entity_type = 'GOVERNMENT_ID'").join(pages, "document_id")
+    return j.groupBy("row_id").agg(F.min(evaluate.substring_distance_udf("value_text", "text")).alias("distance"))
