@@ -36,7 +36,7 @@ def digits(c: Column) -> Column:
 
 
 def _digit(c: Column, i: Column | int) -> Column:
-    return F.substring(c, i if isinstance(i, Column) else F.lit(i), F.lit(1)).cast("int")
+    return F.substring(c, i if isinstance(i, Column) else F.lit(i), F.lit(1)).try_cast("int")
 
 
 def luhn_ok(c: Column) -> Column:
@@ -72,7 +72,7 @@ def pesel_ok(c: Column) -> Column:
     """11 digits with a right check digit and a month and day that occur."""
     weights = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)
     total = sum((_digit(c, i + 1) * w for i, w in enumerate(weights)), F.lit(0))
-    month, day = F.substring(c, 3, 2).cast("int"), F.substring(c, 5, 2).cast("int")
+    month, day = F.substring(c, 3, 2).try_cast("int"), F.substring(c, 5, 2).try_cast("int")
     return (F.length(c) == 11) & ((10 - total % 10) % 10 == _digit(c, 11)) & (month % 20).between(1, 12) & F.floor(month / 20).between(0, 4) & day.between(1, 31)
 
 

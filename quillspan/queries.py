@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 P5_SQL = """
 WITH len AS (SELECT document_id, block_id, max(length(text)) AS n FROM blocks WHERE text IS NOT NULL GROUP BY document_id, block_id),
 v AS (SELECT DISTINCT document_id, block_id, span_start AS s, span_end AS e FROM entities JOIN len USING (document_id, block_id)
-  WHERE span_start >= 0 AND span_end > span_start AND span_end <= n AND confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1),
+  WHERE span_start >= 0 AND span_end > span_start AND span_end <= n AND confidence IS NOT NULL AND CAST(confidence AS VARCHAR) <> 'nan' AND confidence BETWEEN 0 AND 1),
 o AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY document_id, block_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM v),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id, block_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM o),
 p AS (SELECT document_id, block_id, min(s) AS s, max(e) AS e FROM g GROUP BY document_id, block_id, grp),
@@ -135,7 +135,7 @@ def pipeline_gate(spark: SparkSession, d: str) -> DataFrame:
 
 _VALID = """len AS (SELECT DISTINCT document_id, block_id, length(text) AS n FROM blocks WHERE text IS NOT NULL),
 valid AS (SELECT DISTINCT document_id, block_id, span_start, span_end, upper(regexp_replace(trim(entity_type), '[\\s-]+', '_', 'g')) AS entity_type, confidence, coalesce(detector, '') AS detector
-  FROM entities JOIN len USING (document_id, block_id) WHERE span_start >= 0 AND span_end > span_start AND span_end <= n AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 AND entity_type IS NOT NULL)"""
+  FROM entities JOIN len USING (document_id, block_id) WHERE span_start >= 0 AND span_end > span_start AND span_end <= n AND CAST(confidence AS VARCHAR) <> 'nan' AND confidence BETWEEN 0 AND 1 AND entity_type IS NOT NULL)"""
 _SPEC = L.sql_case("entity_type", L.SPECIFICITY, "'0'")
 _MERGED = f"""{_VALID},
 isl AS (SELECT *, CASE WHEN span_start < max(span_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM valid WINDOW w AS (PARTITION BY document_id, block_id ORDER BY span_start, span_end, entity_type, confidence, detector)),
@@ -429,7 +429,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ev2_one_to_one")
 def ev2_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.match_one_to_one(_labels(spark, d).select("document_id", "entity_type", F.col("value_text").alias("value")), _values(spark, d).select("document_id", F.col("canonical_type").alias("entity_type"), "value"))
+    return evaluate.match_one_to_one(_labels(spark, d).select("document_id", "entity_type", F.col("value_text").alias("value"), F.format_string("%012d", "row_id").alias("ord")), _values(spark, d).select("document_id", F.col("canonical_type").alias("entity_type"), "value", F.format_string("%012d %012d", "block_ord", "span_start").alias("ord")))
 
 
 @query("ev3_structure", f"""
