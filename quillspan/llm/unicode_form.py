@@ -159,13 +159,14 @@ def _ordered(parts: Column) -> Column:
 
 def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """The distinct rows of (keys, text) with a character outside plain ASCII: ``k`` (struct of the
-    keys), ``t`` (the text), ``clean`` (its usual form) and ``is_case`` (a letter, digit, hyphen
-    or space of it was not stored as its usual character, or it held something invisible)."""
+    keys), ``h`` (hash of the text; the text itself would travel with every code point),
+    ``clean`` (its usual form) and ``is_case`` (a letter, digit, hyphen or space of it was not
+    stored as its usual character, or it held something invisible)."""
     spark = df.sparkSession
     rows = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").rlike(_SPECIAL)).distinct()
-    runs = rows.select("k", "t", F.posexplode(F.regexp_extract_all("t", F.lit(_RUNS), 0)).alias("run", "word"))
+    runs = rows.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.regexp_extract_all("t", F.lit(_RUNS), 0)).alias("run", "word"))
     odd = F.col("word").rlike(_SPECIAL)
-    points = runs.select("k", "t", "run", odd.alias("odd"), F.posexplode(F.when(odd, F.regexp_extract_all("word", F.lit("(?s)."), 0)).otherwise(F.array("word"))).alias("at", "ch"))
+    points = runs.select("k", "h", "run", odd.alias("odd"), F.posexplode(F.when(odd, F.regexp_extract_all("word", F.lit("(?s)."), 0)).otherwise(F.array("word"))).alias("at", "ch"))
     points = points.join(F.broadcast(character_table(spark)), "ch", "left")
     default_kind = (
         F.when(~F.col("odd"), "P").when(F.col("ch").rlike(r"^\p{IsLatin}"), "L").when(F.col("ch").rlike(r"^[\p{IsGreek}\p{IsCyrillic}]"), "G")
@@ -177,7 +178,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         F.coalesce("loose", F.lit(False)).alias("loose"), F.coalesce("gone", F.lit("")).alias("gone"), F.coalesce("counts", F.lit(False)).alias("counts"),
     )
     # one exchange, by record, serves both groupings
-    words = points.repartition("k", "t").groupBy("k", "t", "run").agg(F.max("odd").alias("odd"), F.array_sort(F.collect_list(point)).alias("p"))
+    words = points.repartition("k", "h").groupBy("k", "h", "run").agg(F.max("odd").alias("odd"), F.array_sort(F.collect_list(point)).alias("p"))
 
     sign = lambda i: F.coalesce(F.get("p", i)["kind"], F.lit("P")).isin("X", "M")
     kept = F.filter("p", lambda x, i: ~((x["gone"] == "always") | ((x["gone"] == "between") & ~(sign(i - 1) & sign(i + 1))) | ((x["gone"] == "after") & ~sign(i - 1))))
@@ -197,7 +198,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         return F.when(F.col("odd"), _compose(_ordered(parts))).otherwise(F.col("kept")[0]["ch"])
 
     words = words.select(
-        "k", "t", "run", "foreign",
+        "k", "h", "run", "foreign",
         F.when((F.col("alike") > 0) & in_latin, "latin").when((F.col("alike") > 0) & alone, "alone").otherwise("").alias("how"),
         rebuilt((F.col("alike") > 0) & (in_latin | alone)).alias("mapped"),
         F.when((F.col("alike") > 0) & alone, rebuilt(F.lit(False))).alias("unmapped"),
@@ -206,7 +207,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         (F.size("kept") != F.size("p")).alias("hidden"),
     )
     word = F.struct("run", "foreign", "how", "mapped", "unmapped", "before", "hidden")
-    texts = words.groupBy("k", "t").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    texts = words.groupBy("k", "h").agg(F.array_sort(F.collect_list(word)).alias("w"))
     # a word all of look-alikes is proper where the word beside it is in that script
     beside = lambda i, step: (F.coalesce(F.get("w", i + 2 * step)["foreign"], F.lit(0)) > 0) & (F.trim(F.coalesce(F.get("w", i + step)["mapped"], F.lit("."))) == "")
     chosen = F.transform("w", lambda x, i: F.struct(
@@ -214,7 +215,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     ))
     texts = texts.withColumn("w", chosen)
     return texts.select(
-        "k", "t",
+        "k", "h",
         F.concat_ws("", F.transform("w", lambda x: x["now"])).alias("clean"),
         F.exists("w", lambda x: x["hidden"] | (x["now"] != x["before"])).alias("is_case"),
     )
@@ -232,7 +233,8 @@ def usual_form(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     columns are left out, whatever their names."""
     base = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.col(f"`{text}`").alias("t"))
     plain = base.filter(F.col("t").isNull() | ~F.col("t").rlike(_SPECIAL)).distinct().select("k", "t", F.col("t").alias("clean"), F.lit(False).alias("is_case"))
-    both = plain.unionByName(unusual_texts(df, keys, text))
+    odd = base.filter(F.col("t").rlike(_SPECIAL)).distinct().withColumn("h", F.xxhash64("t")).join(unusual_texts(df, keys, text), ["k", "h"]).select("k", "t", "clean", "is_case")
+    both = plain.unionByName(odd)
     return both.select(*[F.col("k")[k].alias(k) for k in keys], F.col("t").alias(text), F.col("clean").alias("clean_text"), "is_case")
 
 
