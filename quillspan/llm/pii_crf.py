@@ -164,6 +164,7 @@ class Field:
                 if b[0] == "I" and a[2:] != b[2:]:
                     self.t[i, j] = -30.0
         self.known: dict[str, tuple] = {}
+        self.trained = False
 
     def forget(self) -> None:
         self.w[:] = 0
@@ -390,6 +391,7 @@ def learn(sample: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EP
             again += [(f, _mended(y, field.decode(e, m), m)) for (f, y), e, m in zip(part, emit, marg)]
     field.forget()
     field.train(again, epochs)
+    field.trained = any((y > 0).any() for _, y in again)
     field.w = field.w.astype(np.float16).astype(np.float32)
     field.known = {}
     return field
@@ -532,7 +534,7 @@ class Reader:
             yield self.spans(toks, plain, places, cands, e, m), self.skips(toks, plain, m)
 
     def spans(self, toks, plain, places, cands, e, m) -> list[tuple[int, int, str]]:
-        if not len(m) or (m[:, 0].min() > 0.8 and not cands):
+        if not self.field.trained or not len(m) or (m[:, 0].min() > 0.8 and not cands):
             return []
         path, out, i = self.field.decode(e, m), [], 0
         masked = [p.span() for p in _PLACEHOLDER.finditer(plain)] if "[" in plain or "<" in plain or "{" in plain else []
