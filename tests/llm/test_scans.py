@@ -9,7 +9,7 @@ def blocks(spark):
     scan = []
     for p in range(1, 6):
         head = "Annual Privacy Report" if p != 3 else "Annual Privacy Rep0rt"
-        scan += [("s", f"p{p}a", 10 * p, p, "ocr", head + ("\nthe refi-\nnery was long, a well-\nknown branch" if p == 1 else "\nthe board")), ("s", f"p{p}b", 10 * p + 1, p, "ocr", "the team bo@rd listcd" if p == 2 else "more of the gene-" if p == 4 else "Totals\n926\n484" if p == 3 else f"the emission of branch {p * 7} was listed"), ("s", f"p{p}c", 10 * p + 2, p, "ocr", f"- {p + 20} -")]
+        scan += [("s", f"p{p}a", 10 * p, p, "ocr", head + ("\nthe refi-\nnery was long, a well-\nknown branch" if p == 1 else "\nthe board")), ("s", f"p{p}b", 10 * p + 1, p, "ocr", "the team bo@rd listcd" if p == 2 else "more of the gene-" if p == 4 else "Totals\n926\n484" if p == 3 else "the emission" if p == 1 else "what was long"), ("s", f"p{p}c", 10 * p + 2, p, "ocr", f"- {p + 20} -")]
     scan.append(("s", "p5a2", 49, 5, "ocr", "rator in the annex"))
     return spark.createDataFrame(native + scan + scan[:3] + [("s", "x", 99, 9, "ocr", None), ("s", "y", 98, None, None, "the board")], SCHEMA)
 
