@@ -163,8 +163,10 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     ``clean`` (its usual form) and ``is_case`` (a letter, digit, hyphen or space of it was not
     stored as its usual character, or it held something invisible)."""
     spark = df.sparkSession
-    rows = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").rlike(_SPECIAL)).distinct()
-    runs = rows.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.regexp_extract_all("t", F.lit(_RUNS), 0)).alias("run", "word"))
+    rows = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").rlike(_SPECIAL))
+    # the exchange of the distinct texts serves both groupings below: code points stay where they arise
+    rows = rows.withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"])
+    runs = rows.select("k", "h", F.posexplode(F.regexp_extract_all("t", F.lit(_RUNS), 0)).alias("run", "word"))
     odd = F.col("word").rlike(_SPECIAL)
     points = runs.select("k", "h", "run", odd.alias("odd"), F.posexplode(F.when(odd, F.regexp_extract_all("word", F.lit("(?s)."), 0)).otherwise(F.array("word"))).alias("at", "ch"))
     points = points.join(F.broadcast(character_table(spark)), "ch", "left")
@@ -177,8 +179,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         "at", "ch", F.coalesce("parts", own).alias("parts"), F.coalesce("kind", default_kind).alias("kind"), "look",
         F.coalesce("loose", F.lit(False)).alias("loose"), F.coalesce("gone", F.lit("")).alias("gone"), F.coalesce("counts", F.lit(False)).alias("counts"),
     )
-    # one exchange, by record, serves both groupings
-    words = points.repartition("k", "h").groupBy("k", "h", "run").agg(F.max("odd").alias("odd"), F.array_sort(F.collect_list(point)).alias("p"))
+    words = points.groupBy("k", "h", "run").agg(F.max("odd").alias("odd"), F.array_sort(F.collect_list(point)).alias("p"))
 
     sign = lambda i: F.coalesce(F.get("p", i)["kind"], F.lit("P")).isin("X", "M")
     kept = F.filter("p", lambda x, i: ~((x["gone"] == "always") | ((x["gone"] == "between") & ~(sign(i - 1) & sign(i + 1))) | ((x["gone"] == "after") & ~sign(i - 1))))
