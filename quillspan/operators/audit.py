@@ -71,3 +71,16 @@ def places_text(places: DataFrame) -> DataFrame:
     by_file = places.groupBy("scope_id", "placeholder", "file_name").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "location"))).alias("x"))
     t = by_file.select("scope_id", "placeholder", "n", F.concat("file_name", F.lit(" "), F.array_join(F.transform("x", lambda r: r["location"]), ", ")).alias("t"))
     return t.groupBy("scope_id", "placeholder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda r: r["t"]), "; ").alias("places"), F.count("*").alias("n_files"))
+
+
+def mail_persons(values: DataFrame, people: DataFrame) -> DataFrame:
+    """Mail identities of a scope with the one registered person they name (last part the surname,
+    first part the given name or its initial): scope_id, identity, first_name, last_name. Mail
+    that names no one, or more than one, is left out."""
+    parts = F.filter(F.split(F.regexp_extract("identity", r"(?s)^(.*)@", 1), r"[._-]"), lambda p: p.rlike(r"^\p{L}+$"))
+    mail = values.filter("canonical_type = 'EMAIL' and identity like '%@%'").select("scope_id", "identity").distinct().withColumn("p", parts).filter("size(p) >= 2")
+    mail = mail.select("scope_id", "identity", F.lower(F.try_element_at("p", F.lit(-1))).alias("surname"), F.lower(F.substring(F.get("p", F.lit(0)), 1, 1)).alias("initial"))
+    known = people.filter("last_name is not null").select("scope_id", "first_name", "last_name", F.lower(F.regexp_replace("last_name", "-", "")).alias("surname"), F.lower(F.substring(F.coalesce("first_name", "name_initial"), 1, 1)).alias("i")).distinct()
+    near = mail.join(known, ["scope_id", "surname"]).filter(F.col("i").isNull() | (F.col("i") == F.col("initial")))
+    one = near.groupBy("scope_id", "identity").agg(F.count("*").alias("n"), F.min(F.struct("first_name", "last_name")).alias("x")).filter("n = 1")
+    return one.select("scope_id", "identity", "x.first_name", "x.last_name")

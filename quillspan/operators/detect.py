@@ -44,7 +44,7 @@ def merged_inside(found: Column) -> Column:
     start = F.array().cast(f"array<{one}>")
 
     def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
+        last = F.try_element_at(a, F.lit(-1))
         dets = F.split(x["detector"], r"[|,]")
         fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), key(x).alias("key"), dets.alias("detectors"))
         joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.least(last["key"], key(x)).alias("key"), F.concat(last["detectors"], dets).alias("detectors"))

@@ -342,6 +342,15 @@ def xf4_places_text(spark: SparkSession, d: str) -> DataFrame:
     return audit.places_text(_places(spark, d))
 
 
+@query("xf3_mail_persons", f"""
+WITH {_VALUES}, m AS (SELECT DISTINCT scope_id, identity, list_filter(regexp_split_to_array(regexp_extract(identity, '(?s)^(.*)@', 1), '[._-]'), lambda p: regexp_matches(p, '^\\p{{L}}+$')) AS p FROM ident WHERE canonical_type = 'EMAIL' AND contains(identity, '@')),
+k AS (SELECT DISTINCT scope_id, first_name, last_name, lower(replace(last_name, '-', '')) AS surname, lower(substring(coalesce(first_name, name_initial), 1, 1)) AS i FROM people WHERE last_name IS NOT NULL)
+SELECT scope_id, identity, min((first_name, last_name))[1] AS first_name, min((first_name, last_name))[2] AS last_name FROM (SELECT m.scope_id, identity, first_name, last_name FROM m JOIN k ON m.scope_id = k.scope_id AND len(p) >= 2 AND lower(p[-1]) = surname AND (i IS NULL OR i = lower(p[1][1]))) GROUP BY scope_id, identity HAVING count(*) = 1""")
+def xf3_mail_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Mail identities with the one person of their scope that they name."""
+    return audit.mail_persons(_values(spark, d), table(spark, d, "people", "scope_id", "first_name", "last_name", "name_initial"))
+
+
 # ---- context and registry ----
 
 @query("ctx_headers", """
