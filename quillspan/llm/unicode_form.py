@@ -196,7 +196,7 @@ def unusual_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
     def rebuilt(with_looks: Column) -> Column:
         parts = F.flatten(F.transform("kept", lambda x: F.when(with_looks & x["look"].isNotNull(), F.array(F.struct(x["look"].alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("second")))).otherwise(x["parts"])))
-        return F.when(F.col("odd"), _compose(_ordered(parts))).otherwise(F.col("kept")[0]["ch"])
+        return F.when(F.col("odd"), _compose(_ordered(parts))).otherwise(F.get("kept", F.lit(0))["ch"])
 
     words = words.select(
         "k", "h", "run", "foreign",
