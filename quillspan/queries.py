@@ -121,14 +121,14 @@ def redacted_generic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pii_by_type_and_risk")
 def pii_by_type_and_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Detections by type and tier: the flagship."""
-    return pipeline.summary(pipeline.run(blocks(spark, d), table(spark, d, "source_files")))
+    """Detections by type and tier, names of a scope's other documents included: the flagship."""
+    return pipeline.summary(pipeline.found(blocks(spark, d, *pipeline.COLUMNS), table(spark, d, "source_files")))
 
 
 @query("pipeline_gate")
 def pipeline_gate(spark: SparkSession, d: str) -> DataFrame:
     """Status of every document after one pass of detection, redaction and check."""
-    return pipeline.run(blocks(spark, d), table(spark, d, "source_files")).gate
+    return pipeline.run(blocks(spark, d, *pipeline.COLUMNS), table(spark, d, "source_files")).gate
 
 
 # ---- merge, risk, tokens, redaction over recorded entities ----
