@@ -500,7 +500,13 @@ def ev14_cells_kept(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ev15_substring_distance")
 def ev15_substring_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Edits between every name label and the nearest stretch of each page of its document."""
+    """Edits between every label and the nearest stretch of its document's pages. Equal values of a
+    document are measured once."""
     pages = evaluate.page_texts(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
-    j = _labels(spark, d).filter("entity_type = 'GOVERNMENT_ID'").join(pages, "document_id")
-    return j.groupBy("row_id").agg(F.min(evaluate.substring_distance_udf("value_text", "text")).alias("distance"))
+    labels = _labels(spark, d)
+    # a page's text travels once, not once a label
+    asked = labels.groupBy("document_id").agg(F.collect_set("value_text").alias("values"))
+    j = asked.join(pages.groupBy("document_id").agg(F.collect_list("text").alias("texts")), "document_id")
+    near = j.select("document_id", F.explode(F.arrays_zip("values", evaluate.substring_distances_udf("values", "texts").alias("distance"))).alias("x"))
+    near = near.select("document_id", F.col("x.values").alias("value_text"), F.col("x.distance").alias("distance"))
+    return labels.join(near, ["document_id", "value_text"]).groupBy("row_id").agg(F.min("distance").alias("distance"))
