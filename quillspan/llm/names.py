@@ -25,6 +25,8 @@ from quillspan.session import cut
 CELL = 200
 #: Most pivots of a scope; beyond, cells grow.
 PIVOTS = 256
+#: Surnames of so many letters may be two edits apart where the given names agree.
+TWO_SLIPS = 6
 
 # Titles that are no part of a name.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame lord lady rev herr frau monsieur madame mme mlle senor senora sr sra don dona".split())
@@ -164,13 +166,16 @@ def link_names(mentions: DataFrame, scope: str, key: str, name: str, radius: int
     nodes = rows.select("scope", "node", "meant").distinct()
     alts = nodes.select("scope", "node", F.posexplode("meant").alias("alt", "m")).select("scope", "node", "alt", "m.family", "m.given", "m.gi", "m.fi")
     near = radius_join(alts.filter(F.length("family") >= 2), "scope", "family", radius)
-    near = cut(near.filter((F.col("a") == F.col("b")) | ((F.least(F.length("a"), F.length("b")) >= 4) & one_slip(F.col("a"), F.col("b")))))
+    near = near.withColumn("close", (F.col("a") == F.col("b")) | ((F.least(F.length("a"), F.length("b")) >= 4) & one_slip(F.col("a"), F.col("b"))))
+    wide = cut(near.filter(F.col("close") | (F.least(F.length("a"), F.length("b")) >= TWO_SLIPS)))
+    near = wide.filter("close").drop("close")
 
     strong = alts.filter("family <> '' and given <> ''")
     signed = strong.withColumn("sig", F.explode(_spelled(F.col("given"))))
     left = signed.select("scope", F.col("family").alias("a"), "sig", F.col("node").alias("na"), F.col("given").alias("ga"))
     right = signed.select("scope", F.col("family").alias("b"), "sig", F.col("node").alias("nb"), F.col("given").alias("gb"))
-    edges = left.join(near, ["scope", "a"]).join(right, ["scope", "b", "sig"]).filter((F.col("na") < F.col("nb")) & _agree(F.col("ga"), F.col("gb")))
+    # surnames further apart count only beside given names that agree
+    edges = left.join(wide, ["scope", "a"]).join(right, ["scope", "b", "sig"]).filter((F.col("na") < F.col("nb")) & _agree(F.col("ga"), F.col("gb")))
     roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
     strong = cut(strong.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
 

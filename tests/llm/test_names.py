@@ -49,3 +49,10 @@ def test_open_short_forms_stay_apart(spark):
     p = {r.key: r.person for r in linked.collect()}
     assert p[4] == p[2] and len({p[1], p[2], p[3]}) == 3
     assert names.link_names(spark.createDataFrame([], "scope string, key long, name string"), "scope", "key", "name").count() == 0
+
+
+def test_two_edits_link_long_surnames_with_the_same_given_name(spark):
+    rows = [("s", 1, "Orla Plinunez"), ("s", 2, "Orla Plmunez"), ("s", 3, "Tom Plmunez"), ("s", 4, "Ida Verso"), ("s", 5, "Ida Vorsa")]
+    linked = names.link_names(spark.createDataFrame(rows, "scope string, key long, name string"), "scope", "key", "name")
+    p = {r.key: r.person for r in linked.collect()}
+    assert p[1] == p[2] and len({p[1], p[3], p[4], p[5]}) == 4
