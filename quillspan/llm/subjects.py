@@ -27,6 +27,8 @@ LABELLED = 20_000
 RULE_SENTENCES, WORD_DOCUMENTS = 4, 4
 #: A word counts as evidence from this share of one subject among the labelled documents with it.
 WORD_SHARE = 0.5
+#: A sentence of more words than LONG has lost its stops: it is read in pieces of about PIECE words.
+LONG, PIECE = 30, 12
 THRESHOLDS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 
 _BROKEN = re.compile(r"(?<=\w)[-¬­]\s*\n\s*(?=\w)")
@@ -37,7 +39,8 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 def paragraphs(text: str | None) -> list[list[list[str]]]:
     """Words of three letters or more, by sentence, by paragraph. A paragraph ends at an empty
-    line; sentences end at a stop or where a list item begins; those without two words drop out."""
+    line; sentences end at a stop or where a list item begins; those without two words drop out.
+    Text without stops comes in pieces."""
     if not text:
         return []
     out = []
@@ -46,8 +49,9 @@ def paragraphs(text: str | None) -> list[list[list[str]]]:
         for item in _NEW_ITEM.split(part):
             for sentence in _END.split(item):
                 words = _WORD.findall(sentence)
+                n = max(1, round(len(words) / PIECE)) if len(words) > LONG else 1
                 if len(words) > 1:
-                    found.append(words)
+                    found += [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
         if found:
             out.append(found)
     return out
@@ -67,7 +71,9 @@ class Judge:
     def __init__(self, rules: dict[tuple[str, ...], dict[str, float]], subjects: list[str]):
         self.rules, self.subjects = rules, subjects
         self.single = {r[0] for r in rules if len(r) == 1} | {w for r in rules for w in r}
-        self.longest = max((len(r) for r in rules), default=1)
+        self.by_word: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for r in rules:
+            self.by_word[r[0]].append(r)
 
     def sentence(self, words: list[str]) -> str | None:
         """The subject with more than half of the evidence, which is the sum of the calibrated
@@ -76,9 +82,10 @@ class Judge:
         if not met:
             return None
         found: dict[tuple[str, ...], dict[str, float]] = {}
-        for n in range(1, min(self.longest, len(met)) + 1):
-            for r in combinations(met[:24], n):
-                if r in self.rules:
+        here = set(met)
+        for w in met:
+            for r in self.by_word.get(w, ()):
+                if here.issuperset(r):
                     found[r] = self.rules[r]
         inside = {s for r in found if len(r) > 1 for n in range(1, len(r)) for s in combinations(r, n)}
         evidence: dict[str, float] = defaultdict(float)

@@ -38,3 +38,15 @@ def test_held_out(spark):
 def test_paragraphs():
     assert len(subjects.paragraphs("One two three. Four five six.\n\n• Seven eight\n• Nine tenth")) == 2
     assert subjects.paragraphs(None) == [] and subjects.paragraphs("") == []
+
+
+def test_every_rule_word_of_a_long_sentence_is_heard():
+    many = [f"a{chr(97 + i)}x" for i in range(26)]
+    judge = subjects.Judge({**{(w,): {"other": 0.01} for w in many}, ("yield", "zebra"): {"zoo": 9.0}}, ["other", "zoo"])
+    assert judge.sentence([*many, "zebra", "yield"]) == "zoo"
+
+
+def test_text_without_stops_counts_as_several_sentences():
+    judge = subjects.Judge({("court",): {"law": 2.0}}, ["law"])
+    assert judge.document("the court has heard what all people said " * 9)["law"] >= 3
+    assert [len(w) for w in subjects.paragraphs("alpha beta gamma. " + "delta " * 48)[0]] == [3, 12, 12, 12, 12]
