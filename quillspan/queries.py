@@ -460,7 +460,7 @@ def ev4_page_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ev7_labels_found")
 def ev7_labels_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every place of every label's value in its document."""
+    """The places of labels in their document, each stretch claimed by one label, the longest first."""
     pages = evaluate.page_texts(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
     return evaluate.labels_found(_labels(spark, d), pages)
 
