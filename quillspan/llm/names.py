@@ -1,9 +1,9 @@
 """Variant spellings of personal names, linked within a scope.
 
 Surnames live in a metric space (Levenshtein distance). Each scope's space is partitioned around
-pivots; by the triangle inequality a surname is replicated to every cell in which a neighbour
-within the radius can be at home, so an exact join inside the cells finds all near pairs, each
-once. Near surnames with given names that agree make links, the links' components are persons,
+pivots, and cells that are still large are partitioned again around pivots of their own; by the
+triangle inequality a surname is replicated to every cell in which a neighbour within the radius
+can be at home, so an exact join inside the cells finds all near pairs, each once. Near surnames with given names that agree make links, the links' components are persons,
 and spellings with too little in them (initials, a surname alone) go to the only person of the
 scope they can mean.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,11 @@ from pyspark.sql import types as T
 from quillspan.llm.unicode_form import map_literal, usual_form
 from quillspan.session import cut
 
-#: Surnames of a scope that share one pivot; a scope with fewer is one cell.
-CELL = 200
-#: Most pivots of a scope; beyond, cells grow.
-PIVOTS = 256
+#: A cell with more surnames at home is split, around about so many pivots at most; cells that
+#: stay too large are split again, so neither bounds the result.
+CELL, FAN = 12, 64
+#: Nodes that one pass of the local part of the components holds at a time.
+NODES = 500_000
 #: Surnames of so many letters may be two edits apart where the given names agree.
 TWO_SLIPS = 6
 
@@ -100,35 +102,99 @@ def one_slip(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & swapped)
 
 
+def metric_cells(df: DataFrame, group: str, value: str, radius: int) -> DataFrame:
+    """The distinct values of each group in cells: ``g``, ``cell``, ``v``, ``home`` and ``d``, the
+    distances to the pivots around which the cell's surroundings were split last.
+
+    A value is at home in the cell of its nearest pivot, and stands as a copy in every other cell
+    whose pivot is at most 2 * ``radius`` further away: if b is at home with pivot p and a is within
+    the radius of b, d(a, p) <= r + d(b, p) <= r + d(b, q) <= 2r + d(a, q) for every other pivot q.
+    The same holds when a cell is split again, so cells are split until each is home to at most
+    ``CELL`` values. Two pivots at least split a cell, each its own home, so this ends."""
+    rows = cut(df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("g is not null and v is not null").distinct().select("g", F.lit("").alias("cell"), "v", F.lit(True).alias("home"), F.array().cast("array<int>").alias("d")))
+    level = 0
+    while True:
+        h = F.xxhash64("v", F.lit(level))
+        large = rows.filter("home").groupBy("g", "cell").agg(F.count("*").alias("n"), F.min_by("v", h).alias("one"), F.max_by("v", h).alias("other")).filter(F.col("n") > CELL)
+        if not large.head(1):
+            return rows
+        wanted = F.least(F.lit(FAN), F.ceil(F.col("n") / F.lit(max(1, CELL // 4))))
+        sampled = rows.filter("home").join(large, ["g", "cell"]).filter(F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("n") / wanted))) == 0).groupBy("g", "cell").agg(F.collect_set("v").alias("more"))
+        pivots = large.join(sampled, ["g", "cell"], "left").select("g", "cell", F.array_sort(F.array_union(F.array("one", "other"), F.coalesce("more", F.array().cast("array<string>")))).alias("pivots"))
+        far = rows.join(pivots, ["g", "cell"]).withColumn("d", F.transform("pivots", lambda p: F.levenshtein("v", p))).withColumn("least", F.array_min("d"))
+        near = far.select("g", "cell", "v", "home", "d", "least", F.array_position("d", F.col("least")).cast("int").alias("nearest"), F.posexplode("d").alias("i", "di")).filter(F.col("di") <= F.col("least") + 2 * radius)
+        split = near.select("g", F.concat_ws(".", "cell", F.col("i").cast("string")).alias("cell"), "v", (F.col("home") & (F.col("i") + 1 == F.col("nearest"))).alias("home"), "d")
+        rows = cut(rows.join(large.select("g", "cell"), ["g", "cell"], "left_anti").unionByName(split))
+        level += 1
+
+
+def _may_be_near(a: Column, b: Column, radius: int) -> Column:
+    """What the triangle inequality leaves: distances to the same pivots differ by the radius at
+    most, and so do lengths."""
+    return (F.abs(F.length(a["v"]) - F.length(b["v"])) <= radius) & ~F.exists(F.zip_with(a["d"], b["d"], lambda x, y: F.abs(x - y) > radius), lambda x: x)
+
+
 def radius_join(df: DataFrame, group: str, value: str, radius: int) -> DataFrame:
     """All ordered pairs (``group``, ``a``, ``b``) of distinct values of one group within
     ``radius`` edits, each value with itself included, by metric-space partitioning. Nulls take no
     part."""
-    values = df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("g is not null and v is not null").distinct()
-    sizes = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("first"))
-    sampled = values.join(sizes.filter(F.col("n") > CELL), "g").filter(F.pmod(F.xxhash64("v"), F.greatest(F.lit(CELL), (F.col("n") / PIVOTS).cast("long"))) == 0)
-    pivots = sampled.groupBy("g").agg(F.collect_set("v").alias("more"))
-    pivots = sizes.join(pivots, "g", "left").select("g", F.array_union(F.array("first"), F.coalesce("more", F.array().cast("array<string>"))).alias("pivots"))
-    # a scope of one cell needs no distances
-    far = values.join(pivots, "g").withColumn("d", F.when(F.size("pivots") == 1, F.array(F.lit(0))).otherwise(F.transform("pivots", lambda p: F.levenshtein("v", p))))
-    far = far.withColumn("least", F.array_min("d")).withColumn("len", F.length("v"))
-    home = far.select("g", F.col("v").alias("b"), F.array_position("d", F.col("least")).cast("int").alias("cell"), "len", F.col("least").alias("db"))
-    copies = far.select("g", F.col("v").alias("a"), "len", "least", F.posexplode("d").alias("cell", "da")).filter(F.col("da") <= F.col("least") + 2 * radius)
-    copies = copies.select("g", "a", (F.col("cell") + 1).alias("cell"), "da", F.explode(F.sequence(F.col("len") - radius, F.col("len") + radius)).alias("len"))
-    near = copies.join(home, ["g", "cell", "len"]).filter((F.abs(F.col("da") - F.col("db")) <= radius) & (F.levenshtein("a", "b", radius) >= 0))
-    return near.select(F.col("g").alias(group), "a", "b")
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components of ``a``-``b``: ``node``, ``root`` (the least node). Every round takes
-    the least root among the neighbours and then the root's root, cut from its past in the
-    shared folder; it ends when nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    roots = cut(roots)
+    cells = metric_cells(df, group, value, radius)
+    homes = cells.filter("home").groupBy("g", "cell").agg(F.collect_list(F.struct("v", "d")).alias("members"))  # at most CELL
+    me = F.struct("v", "d")
+    near = F.filter("members", lambda m: _may_be_near(me, m, radius) & (F.levenshtein(F.col("v"), m["v"], radius) >= 0))
+    found = cells.join(homes, ["g", "cell"]).select("g", "v", F.explode(near).alias("m"))
+    return found.select(F.col("g").alias(group), F.col("v").alias("a"), F.col("m.v").alias("b"))
+
+
+def join_counts(df: DataFrame, group: str, value: str, radius: int = 2) -> DataFrame:
+    """How the partitioning of each group works out: ``group``, its values, cells, copies beside
+    the homes, pairs met in cells, pairs left to the edit distance, and pairs found."""
+    cells = cut(metric_cells(df, group, value, radius))
+    homes = cells.filter("home").groupBy("g", "cell").agg(F.collect_list(F.struct("v", "d")).alias("members"))
+    me = F.struct("v", "d")
+    left = F.filter("members", lambda m: _may_be_near(me, m, radius))
+    met = cells.join(homes, ["g", "cell"]).select("g", "cell", "home", F.size("members").alias("met"), F.size(left).alias("measured"), F.size(F.filter(left, lambda m: F.levenshtein(F.col("v"), m["v"], radius) >= 0)).alias("found"))
+    return met.groupBy(F.col("g").alias(group)).agg(F.sum(F.col("home").cast("int")).alias("values"), F.countDistinct("cell").alias("cells"), F.sum((~F.col("home")).cast("int")).alias("copies"), F.sum("met").alias("met"), F.sum("measured").alias("measured"), F.sum("found").alias("found"))
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of one partition as edges to the least node reached: the same components with fewer
+    and shorter paths. Beyond ``NODES`` nodes it starts anew, which only costs edges."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def drawn() -> pd.DataFrame:
+        return pd.DataFrame([(x, find(x)) for x in list(root)], columns=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"]):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > NODES:
+            yield drawn()
+            root.clear()
+    yield drawn()
+
+
+def components(edges: DataFrame, near: str | None = None, rounds: int = 50) -> DataFrame:
+    """Connected components of ``a``-``b``: ``node``, ``root`` (the least node). Edges with the same
+    ``near`` are contracted side by side first (large groups are split, small ones put together by
+    the rebalancing exchange); what is left goes in rounds, each taking the least root among the
+    neighbours and then the root's root, cut from its past in the shared folder, until nothing
+    changes."""
+    placed = edges.hint("rebalance", F.col(near)) if near else edges
+    both = cut(placed.select("a", "b").mapInPandas(_stars, "a string, b string").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "r").alias("new"))
+        step = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r")).join(roots, "node").select("node", "root", F.least("root", "r").alias("new"))
         jump = step.join(roots.select(F.col("node").alias("new"), F.col("root").alias("beyond")), "new", "left")
         after = cut(jump.select("node", F.least("new", F.coalesce("beyond", "new")).alias("root"), (F.least("new", F.coalesce("beyond", "new")) != F.col("root")).alias("moved")))
         roots = after.select("node", "root")
@@ -176,7 +242,7 @@ def link_names(mentions: DataFrame, scope: str, key: str, name: str, radius: int
     right = signed.select("scope", F.col("family").alias("b"), "sig", F.col("node").alias("nb"), F.col("given").alias("gb"))
     # surnames further apart count only beside given names that agree
     edges = left.join(wide, ["scope", "a"]).join(right, ["scope", "b", "sig"]).filter((F.col("na") < F.col("nb")) & _agree(F.col("ga"), F.col("gb")))
-    roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
+    roots = components(edges.select("scope", F.col("na").alias("a"), F.col("nb").alias("b")), "scope")
     strong = cut(strong.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     # what is known of each person: surnames with given names and their initials

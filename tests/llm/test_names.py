@@ -14,7 +14,7 @@ def lev(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("cell", [200, 5])
+@pytest.mark.parametrize("cell", [200, 12, 4])
 def test_radius_join_against_all_pairs(spark, monkeypatch, cell):
     monkeypatch.setattr(names, "CELL", cell)
     rng = random.Random(1)
@@ -25,6 +25,27 @@ def test_radius_join_against_all_pairs(spark, monkeypatch, cell):
     assert len(got) == len(set(got)) and set(got) == {(g, a, b) for g, a in full for h, b in full if g == h and lev(a, b) <= 2}
 
 
+def test_cells_are_bounded_and_hold_every_value_once(spark, monkeypatch):
+    monkeypatch.setattr(names, "FAN", 3)  # more levels
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(4, 8))) for _ in range(120)}
+    df = spark.createDataFrame([("g", w) for w in words], "g string, v string")
+    cells = names.metric_cells(df, "g", "v", 2).collect()
+    homes = [r.v for r in cells if r.home]
+    assert sorted(homes) == sorted(words)
+    assert max(sum(1 for r in cells if r.home and r.cell == c) for c in {r.cell for r in cells}) <= names.CELL
+    n = names.join_counts(df, "g", "v").first()
+    assert n["values"] == len(words) and n.cells > 1 and n.found <= n.measured <= n.met
+
+
+def test_components_contracted_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(names, "NODES", 3)
+    chain = [(f"n{i:03}", f"n{i + 1:03}", "s") for i in range(60)]
+    random.Random(3).shuffle(chain)
+    e = spark.createDataFrame(chain, "a string, b string, s string")
+    assert {r.root for r in names.components(e, "s").collect()} == {"n000"}
+
+
 def test_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.node: r.root for r in names.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
