@@ -1,14 +1,17 @@
 """Personal information in free text: a skip-chain conditional random field.
 
-Tokens of a block form a chain with learnt potentials; equal and look-alike capitalised tokens of
-one document share skip potentials, which make their labels agree however far apart they are.
-Inference is loopy message passing: forward-backward inside every block, then messages over the
-skip edges. A document's skip edges are kept as one hub per token form, so a round costs one
-pre-aggregated sum and one join, and a document of any size stays spread over the cluster.
+Tokens of a block form a chain with learnt potentials; equal and look-alike tokens of one document
+share skip potentials, which make their labels agree however far apart they are. The tokens of one
+form are tied by a hub, a hidden variable for what the form stands for in the document: a token
+whose type agrees with its hub's gains a learnt strength. Inference is loopy message passing:
+forward-backward inside every block, token to hub, hub to token, each message without what came
+over the same edge, until the beliefs rest. A round costs one pre-aggregated sum and one join, and
+a document of any size stays spread over the cluster.
 
 The chain is trained by gradient steps on a bounded sample of blocks whose spans were recorded,
 in part, by detectors; the spans are cleaned first, and what the first model finds beside them is
-added before the second training.
+added before the second training. The strengths of the skip potentials are then set to the likeliest
+ones, on marginals of models that never saw the block.
 """
 
 from __future__ import annotations
@@ -30,16 +33,19 @@ from quillspan.session import cut, spread
 
 TYPES = ("EMAIL", "PHONE", "GOVERNMENT_ID", "ADDRESS", "PERSON")
 LABELS = ("O", *[f"{p}-{t}" for t in TYPES for p in "BI"])
-#: Blocks to train on, at most, chosen by the hash of their keys; passes over them.
-SAMPLE, EPOCHS = 12_000, 5
+#: Of each label its group: outside, or the type.
+GROUPS = np.array([0, *[i + 1 for i in range(len(TYPES)) for _ in "BI"]])
+N_GROUPS = len(TYPES) + 1
+#: Blocks to train on, at most, chosen by the hash of their keys; characters of one of them that
+#: are read in training; passes over them.
+SAMPLE, SAMPLE_TEXT, EPOCHS = 12_000, 20_000, 5
 BITS = 18
-#: Strength of a skip edge (log-odds), the most that all edges of a token may say, rounds.
-SKIP, SKIP_MOST, ROUNDS = 1.2, 5.0, 2
-#: Tokens less likely to be part of a name send nothing: their messages would be about zero.
-SKIP_LEAST = 0.002
+#: Message passing rests when no block's beliefs move by more than CHANGE (the sum over its tied
+#: tokens); messages are damped from round DAMPED on, so that it comes to rest; ROUNDS is a brake.
+CHANGE, DAMPED, ROUNDS = 0.02, 4, 25
+#: Strengths of the skip potentials that are tried for each group.
+STRENGTHS = tuple(x / 4 for x in range(0, 21))
 TOKENS_A_BATCH = 120_000
-#: From this marginal on a token is outside of all values whatever its neighbours are.
-SURE = 0.995
 
 # Names of the detectors' types for the five types asked for.
 TYPE_NAMES = {
@@ -73,6 +79,8 @@ _ADDRESS = re.compile(
     rf"|(?P<es>(?:{_SPANISH})\s(?:[^\W\d_]+\s){{1,5}}\d{{1,4}},(?:\s\d+º(?:\s[A-Z])?,)?\s\d{{5}}\s{_CAP})"
     rf"|(?P<fr>\d{{1,4}}(?:\s(?:bis|ter))?\s(?:{_FRENCH})\s(?:[^\W\d_'’]+[\s'’]?){{1,6}},\s\d{{5}}\s{_CAP}))(?!\w)"
 )
+#: A word with signs or digits between its letters: misread, so its form is that of the whole.
+_MIXED = re.compile(r"[^\W\d_]+(?:[0-9!|$@]+[^\W\d_]+)+")
 _PLACEHOLDER = re.compile(r"[\[<{][A-Z_]{3,}(?:_?\d+)?[\]>}]")
 
 
@@ -167,6 +175,8 @@ class Field:
                     self.t[i, j] = -30.0
         self.known: dict[str, tuple] = {}
         self.trained = False
+        self.skip = np.zeros(N_GROUPS)
+        self.doubt = 0.0
 
     def forget(self) -> None:
         self.w[:] = 0
@@ -280,28 +290,58 @@ class Field:
             out[i] = m / m.sum(1, keepdims=True)
         return out, pairs
 
-    def decode(self, emit: np.ndarray, marginal: np.ndarray) -> list[int]:
-        """The labels with the most expected right ones among the allowed sequences."""
-        path = np.zeros(len(marginal), np.int64)
-        open_ = np.flatnonzero(marginal[:, 0] < SURE)  # all others are outside beyond doubt
-        if not len(open_):
-            return path.tolist()
+    def decode(self, marginals: list[np.ndarray]) -> list[np.ndarray]:
+        """For each chain the labels with the most expected right ones among the allowed sequences,
+        all chains at once. ``doubt`` is taken off what staying outside is worth: the records miss
+        spans. Where outside is best for every token of a chain, it is best for the chain."""
+        out = [np.zeros(len(m), np.int64) for m in marginals]
+        worth = [np.log(m + 1e-9) for m in marginals]
+        for r in worth:
+            r[:, 0] -= self.doubt
+        open_ = sorted((i for i, r in enumerate(worth) if len(r) and (r[:, 0] < r.max(1)).any()), key=lambda i: -len(worth[i]))
+        if not open_:
+            return out
+        lens = np.array([len(worth[i]) for i in open_])
+        most, k = int(lens[0]), len(LABELS)
+        r = np.zeros((most, len(open_), k))
+        for n, i in enumerate(open_):
+            r[: lens[n], n] = worth[i]
         allowed = np.where(self.t < -20, -1e9, 0.0)
-        first = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            reward = np.log(marginal[run] + 1e-9)
-            reward[:, 0] -= 0.35  # the records miss spans: a token is given the benefit of the doubt
-            best, back = reward[0] + first, []
-            for r in reward[1:]:
-                x = best[:, None] + allowed
-                back.append(x.argmax(0))
-                best = x.max(0) + r
-            y = int(best.argmax())
-            path[run[-1]] = y
-            for t in range(len(back) - 1, -1, -1):
-                y = int(back[t][y])
-                path[run[t]] = y
-        return path.tolist()
+        best = r[0] + np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
+        back = np.zeros((most, len(open_), k), np.int8)
+        for t in range(1, most):
+            n = int((lens > t).sum())
+            x = best[:n, :, None] + allowed
+            back[t, :n] = x.argmax(1)
+            best[:n] = x.max(1) + r[t, :n]
+        y = best.argmax(1)
+        for t in range(most - 1, -1, -1):
+            n = int((lens > t).sum())
+            for c in range(n):
+                out[open_[c]][t] = y[c]
+            y[:n] = back[t, np.arange(n), y[:n]]
+        return out
+
+    def ties(self, plain: str, toks: list[tuple[int, int]], cands: list[tuple[int, int, str, str]]) -> list[tuple[int, str]]:
+        """The tokens with skip edges, (number, form): of three letters or four digits and more, and
+        no word that the sample writes small as a rule. Tokens of one form in a document are tied.
+        Inside addresses, of mail or street, a form is tied to its like there."""
+        mixed = {m.start(): m.group() for m in _MIXED.finditer(plain)}
+        out, k = [], 0
+        for i, (s, e) in enumerate(toks):
+            while k < len(cands) and cands[k][1] <= s:
+                k += 1
+            inside = k < len(cands) and cands[k][0] <= s and cands[k][2] in "EA"
+            w = plain[s:e] if inside else mixed.get(s, plain[s:e])
+            if len(w) >= (4 if w.isdigit() else 3) and w[0].isalnum() and w.lower() not in self.lower:
+                out.append((i, (cands[k][2] if inside else "") + fold_token(w)))
+        return out
+
+    def says(self, belief: np.ndarray, heard: np.ndarray) -> np.ndarray:
+        """Log messages of tokens to their hubs: what they believe without what the hub told them."""
+        own = belief / np.exp(heard)
+        own /= own.sum(1, keepdims=True)
+        return np.log1p(np.expm1(self.skip) * own)
 
     def train(self, chains: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float = 0.35) -> None:
         """Adaptive gradient steps on the log-likelihood of (features, labels) chains."""
@@ -315,6 +355,7 @@ class Field:
                 delta = np.concatenate(marg).astype(np.float32)
                 gold = np.concatenate([y for _, y in part])
                 delta[np.arange(len(gold)), gold] -= 1.0
+                delta[gold < 0] = 0.0  # not known: nothing to learn from
                 busy = np.abs(delta).max(1) > 1e-3
                 feats = np.concatenate([f for f, _ in part])[busy]
                 rows, where = np.unique(feats, return_inverse=True)
@@ -324,7 +365,8 @@ class Field:
                 g2[rows] += grad * grad
                 self.w[rows] -= rate * grad / np.sqrt(g2[rows])
                 for _, y in part:
-                    np.subtract.at(pairs, (y[:-1], y[1:]), 1.0)
+                    both = (y[:-1] >= 0) & (y[1:] >= 0)
+                    np.subtract.at(pairs, (y[:-1][both], y[1:][both]), 1.0)
                 pairs[self.t < -20] = 0
                 t2 += pairs * pairs
                 self.t -= (rate * 0.5 * pairs / np.sqrt(t2)).astype(np.float32)
@@ -337,7 +379,8 @@ def _name_like(tokens: list[str], lower: set[str]) -> bool:
 
 def gold_labels(field: Field, text: str, spans: list[tuple[int, int, str]], told: dict[tuple[str, str], str]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a block from its recorded spans, widened to whole tokens or to the
-    candidate they lie in; spans that can't be of their type are left out."""
+    candidate they lie in; spans that can't be of their type are left out. Labels inside addresses
+    that no record speaks of are not known (-1)."""
     toks, rows, plain, at, cands = field.read(text)
     y = np.zeros(len(toks), np.int64)
     place = {i: j for j, i in reversed(list(enumerate(at)))} if at else None
@@ -367,16 +410,19 @@ def gold_labels(field: Field, text: str, spans: list[tuple[int, int, str]], told
         if (kind, shape) in told and hit and not y[hit].any():
             b = 1 + 2 * TYPES.index(told[kind, shape])
             y[hit[0]], y[hit[1:]] = b, b + 1
+        elif kind in "EA" and hit and not y[hit].any():
+            y[hit] = -1
     return Field.features(rows), y
 
 
-def learn(sample: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPOCHS) -> Field:
-    """A field trained on (text, recorded spans), twice: the second time with what the first model
-    is sure of where nothing was recorded."""
+def learn(sample: list[tuple[str, str, list[tuple[int, int, str]]]], epochs: int = EPOCHS) -> Field:
+    """A field trained on (document, text, recorded spans), twice: the second time with what the
+    first model is sure of where nothing was recorded. Strengths of the skip potentials come from
+    the first models' marginals on the half they never saw."""
     counts: Counter = Counter()
     lower: Counter = Counter()
     written: Counter = Counter()
-    for text, _ in sample:
+    for _, text, _ in sample:
         plain = plain_form(text)[0]
         for w in re.findall(r"[^\W\d_]+", plain):
             counts[w.lower()] += 1
@@ -386,21 +432,30 @@ def learn(sample: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EP
                 lower[w] += 1
     # ordinary words; names now and then written small are none
     field = Field(counts, {w for w, n in lower.items() if n >= 2 and len(w) > 1 and n >= 0.3 * written[w]})
-    told = _told_shapes(sample)
-    chains = [gold_labels(field, t, s, told) for t, s in sample]
-    chains = [c for c in chains if len(c[1])]
+    told = _told_shapes([(t, s) for _, t, s in sample])
+    chains, tied = [], []
+    for d, t, s in sample:
+        c = gold_labels(field, t, s, told)
+        if len(c[1]):
+            toks, _, plain, _, cands = field.read(t)
+            chains.append(c)
+            tied.append([(d, i, form) for i, form in field.ties(plain, toks, cands)])
     if not chains:
         return field
-    halves = (chains[::2], chains[1::2])
-    again = []
-    for one, other in (halves, halves[::-1]):
+    again: list = [None] * len(chains)
+    seen: list = [None] * len(chains)
+    for side in (0, 1):
         field.forget()
-        field.train(one, max(2, epochs // 2 + 1))
+        field.train(chains[side::2], max(2, epochs // 2 + 1))
+        other = list(range(1 - side, len(chains), 2))
         for lo in range(0, len(other), 500):
             part = other[lo : lo + 500]
-            emit = [field.scores(f) for f, _ in part]
-            marg, _ = field.pass_messages(emit)
-            again += [(f, _mended(y, field.decode(e, m), m)) for (f, y), e, m in zip(part, emit, marg)]
+            marg, _ = field.pass_messages([field.scores(chains[i][0]) for i in part])
+            for i, m, path in zip(part, marg, field.decode(marg)):
+                again[i] = (chains[i][0], _mended(chains[i][1], path, m))
+                seen[i] = m
+    _strengths(field, seen, [y for _, y in again], tied)
+    field.doubt = _doubt(field, seen, [y for _, y in chains])
     field.forget()
     field.train(again, epochs)
     field.trained = any((y > 0).any() for _, y in again)
@@ -409,6 +464,63 @@ def learn(sample: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EP
     return field
 
 
+def grouped(m: np.ndarray) -> np.ndarray:
+    """Marginals of labels as beliefs of groups."""
+    return np.concatenate((m[:, :1], m[:, 1::2] + m[:, 2::2]), 1)
+
+
+def _strengths(field: Field, marg: list[np.ndarray], gold: list[np.ndarray], tied: list[list[tuple[str, int, str]]]) -> None:
+    """Sets ``skip`` to the strengths under which the labels of the tied tokens are likeliest after
+    one exchange of messages, one group at a time, twice around."""
+    number: dict[tuple[str, str], int] = {}
+    hub, belief, label = [], [], []
+    for m, y, ties in zip(marg, gold, tied):
+        b = grouped(m) if ties else m
+        for d, i, form in ties:
+            if y[i] >= 0:
+                hub.append(number.setdefault((d, form), len(number)))
+                belief.append(b[i])
+                label.append(GROUPS[y[i]])
+    if not hub:
+        return
+    h, b, y = np.array(hub), np.clip(np.array(belief), 1e-6, 1), np.array(label)
+    keep = np.bincount(h)[h] > 1
+    h, b, y = h[keep], b[keep], y[keep]
+    if not len(h):
+        return
+
+    def fit(w: np.ndarray) -> float:
+        sent = np.log1p(np.expm1(w) * b)
+        rest = np.stack([np.bincount(h, weights=sent[:, g]) for g in range(N_GROUPS)], 1)[h] - sent
+        other = np.exp(rest - rest.max(1, keepdims=True))
+        after = b * (1 + np.expm1(w) * other / other.sum(1, keepdims=True))
+        return float(np.log(after[np.arange(len(y)), y] / after.sum(1)).sum() - 0.5 * (w * w).sum())
+
+    w = np.zeros(N_GROUPS)
+    for _ in range(2):
+        for g in range(N_GROUPS):
+            tries = [np.where(np.arange(N_GROUPS) == g, x, w) for x in STRENGTHS]
+            w = max(tries, key=fit)
+    field.skip = w
+
+
+def _doubt(field: Field, marg: list[np.ndarray], gold: list[np.ndarray]) -> float:
+    """How much staying outside is to be worth less, so that of the recorded spans as many as can be
+    are found by models that never saw them, and of what is found little is unrecorded: the best
+    F2, as records miss spans and invent few."""
+    best = (-1.0, 0.0)
+    for doubt in (0.0, 0.35, 0.7, 1.05, 1.4):
+        field.doubt = doubt
+        hit = found = true = 0
+        for lo in range(0, len(marg), 500):
+            for y, path in zip(gold[lo : lo + 500], field.decode(marg[lo : lo + 500])):
+                known = y >= 0
+                a, b = {(i, j, y[i]) for i, j in _runs(np.where(known, y, 0))}, {(i, j, path[i]) for i, j in _runs(np.where(known, path, 0))}
+                hit, found, true = hit + len(a & b), found + len(b), true + len(a)
+        best = max(best, (5 * hit / max(1, 4 * true + found), -doubt))
+    return -best[1]
+
+
 def _runs(path) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(path):
@@ -420,10 +532,11 @@ def _runs(path) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _mended(y: np.ndarray, path: list[int], m: np.ndarray) -> np.ndarray:
+def _mended(y: np.ndarray, path: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Labels of a block after a model that never saw it: what it is fairly sure of is added where
-    nothing was recorded, what it finds out of the question is taken out."""
-    z = y.copy()
+    nothing was recorded, what it finds out of the question is taken out; what was not known is
+    what it says."""
+    z = np.where(y < 0, 0, y)
     for i, j in _runs(y):
         if m[i:j, 0].mean() > 0.98:
             z[i:j] = 0
@@ -458,16 +571,25 @@ def fold_token(w: str) -> str:
 
 def tidy(start: int, end: int, kind: str, plain: str, cands: list[tuple[int, int, str, str]]) -> tuple[int, int] | None:
     """The exact check: a span of mail, phone or identity number takes the bounds of the candidate
-    it lies on, and is dropped if there is none; titles and marks at the ends of names go."""
+    it lies on; without one it keeps its own, if it has the signs of an address or the digits of a
+    number; titles and marks at the ends of names go."""
     want = {"EMAIL": "E", "PHONE": "N", "GOVERNMENT_ID": "NC"}.get(kind)
     if want:
         best = max((c for c in cands if c[2] in want), key=lambda c: min(end, c[1]) - max(start, c[0]), default=None)
-        if best is None or min(end, best[1]) <= max(start, best[0]):
-            return None
-        start, end = best[0], best[1]
-        if kind == "GOVERNMENT_ID" and (x := re.search(r",?\s*(?:ext\.?|extn\.?|extension|x)\s*\d+$", plain[start:end], re.IGNORECASE)):
-            end = start + x.start()
-        return start, end
+        if best is not None and min(end, best[1]) > max(start, best[0]):
+            start, end = best[0], best[1]
+            if kind == "GOVERNMENT_ID" and (x := re.search(r",?\s*(?:ext\.?|extn\.?|extension|x)\s*\d+$", plain[start:end], re.IGNORECASE)):
+                end = start + x.start()
+            return start, end
+        # no usual shape: the field's own bounds, if there is enough in them for one value
+        while end > start and not plain[end - 1].isalnum():
+            end -= 1
+        while start < end and not (plain[start].isalnum() or (kind == "PHONE" and plain[start] in "+(")):
+            start += 1
+        value = plain[start:end]
+        digits = sum(c.isdigit() for c in value)
+        enough = {"EMAIL": bool(re.search(r"\w\s?@\s?\w+\s?\.\s?\w", value)), "PHONE": 7 <= digits <= 16 and digits * 2 >= len(value), "GOVERNMENT_ID": digits >= 6 and digits * 2 >= len(value)}
+        return (start, end) if enough[kind] else None
     if kind == "ADDRESS":
         best = max((c for c in cands if c[2] == "A"), key=lambda c: min(end, c[1]) - max(start, c[0]), default=None)
         if best is not None and min(end, best[1]) > max(start, best[0]):
@@ -512,9 +634,10 @@ class Reader:
     def __init__(self, field: Field):
         self.field = field
 
-    def batch(self, texts: list[str], extra: list[list[tuple[int, float]]] | None = None) -> Iterator[tuple[list[tuple[int, int, str]], list[tuple[str, int, float]]]]:
-        """For each text its spans (start, end, type in characters of the text) and its skip tokens
-        (form, number of the token, log-odds message). ``extra`` are messages that came in."""
+    def batch(self, texts: list[str], heard: list[list[tuple[int, list[float]]]] | None = None) -> Iterator[tuple[list[tuple[int, int, str]], list[dict]]]:
+        """For each text its spans (start, end, type in characters of the text) and its tied tokens:
+        ``form``, ``token`` (its number), ``belief`` of each group, the messages it ``heard`` and
+        what it ``says``. ``heard`` are messages of the hubs, one log a group."""
         f = self.field
         read = [f.read(t) for t in texts]
         rows = np.concatenate([np.concatenate((r[1], np.zeros((3, 10), np.int64))) for r in read]) if read else np.zeros((0, 10), np.int64)
@@ -523,15 +646,14 @@ class Reader:
         for i, r in enumerate(read):
             e = scores[at : at + len(r[0])]
             at += len(r[0]) + 3
-            if extra is not None:
+            if heard is not None and heard[i]:
                 e = e.copy()
-                for token, add in extra[i]:
-                    if token < len(e):
-                        e[token, 9:11] += add
+                for token, logs in heard[i]:
+                    e[token] += np.asarray(logs, np.float32)[GROUPS]
             emit.append(e)
-        marg: list = []
         by = sorted(range(len(emit)), key=lambda i: len(emit[i]))
-        marg = [np.zeros((0, len(LABELS)))] * len(emit)
+        marg: list = [np.zeros((0, len(LABELS)))] * len(emit)
+        path: list = [np.zeros(0, np.int64)] * len(emit)
         i = 0
         while i < len(by):  # chains of similar length pass messages together
             j = i
@@ -539,68 +661,78 @@ class Reader:
                 j += 1
             j = max(j, i + 1)
             got, _ = f.pass_messages([emit[k] for k in by[i:j]])
-            for k, m in zip(by[i:j], got):
-                marg[k] = m
+            for k, m, p in zip(by[i:j], got, f.decode(got)):
+                marg[k], path[k] = m, p
             i = j
-        for (toks, _, plain, places, cands), e, m in zip(read, emit, marg):
-            yield self.spans(toks, plain, places, cands, e, m), self.skips(toks, plain, m)
+        for n, (toks, _, plain, places, cands) in enumerate(read):
+            yield self.spans(toks, plain, places, cands, path[n]), self.tied(toks, plain, cands, marg[n], heard[n] if heard is not None else [])
 
-    def spans(self, toks, plain, places, cands, e, m) -> list[tuple[int, int, str]]:
-        if not self.field.trained or not len(m) or (m[:, 0].min() > 0.8 and not cands):
+    def spans(self, toks, plain, places, cands, path) -> list[tuple[int, int, str]]:
+        if not self.field.trained or not path.any():
             return []
-        path, out, i = self.field.decode(e, m), [], 0
+        out = []
         masked = [p.span() for p in _PLACEHOLDER.finditer(plain)] if "[" in plain or "<" in plain or "{" in plain else []
-        while i < len(path):
-            if path[i]:
-                j = i + 1
-                while j < len(path) and path[j] == path[i] + path[i] % 2 and LABELS[path[j]][0] == "I":
-                    j += 1
-                kind = LABELS[path[i]][2:]
-                got = tidy(toks[i][0], toks[j - 1][1], kind, plain, cands)
-                for a, b in one_by_one(*got, plain) if got and kind == "PERSON" else [got] if got else []:
-                    if not any(s < b and a < x for s, x in masked) and not any(s < b and a < x for s, x, _ in out):
-                        out.append((a, b, kind))
-                i = j
-            else:
-                i += 1
-        # candidates that the field half believes in
-        for a, b, kind, shape in cands:
-            if not any(s < b and a < x for s, x, _ in out) and not any(s < b and a < x for s, x in masked):
-                inside = [i for i, (s, x) in enumerate(toks) if s >= a and x <= b]
-                best = max(((m[inside, 1 + 2 * TYPES.index(t)] + m[inside, 2 + 2 * TYPES.index(t)]).mean(), t) for t in _KINDS[kind]) if inside else (0.0, "")
-                if best[0] >= (0.03 if kind in "EA" else 0.2):
-                    got = tidy(a, b, best[1], plain, cands)
-                    if got:
-                        out.append((*got, best[1]))
+        for i, j in _runs(path):
+            kind = LABELS[path[i]][2:]
+            got = tidy(toks[i][0], toks[j - 1][1], kind, plain, cands)
+            for a, b in one_by_one(*got, plain) if got and kind == "PERSON" else [got] if got else []:
+                if not any(s < b and a < x for s, x in masked) and not any(s < b and a < x for s, x, _ in out):
+                    out.append((a, b, kind))
         return [(s, t, k) if places is None else (places[s], places[t - 1] + 1, k) for s, t, k in out]
 
-    def skips(self, toks, plain, m) -> list[tuple[str, int, float]]:
-        if not len(m):
+    def tied(self, toks, plain, cands, m, heard) -> list[dict]:
+        ties = self.field.ties(plain, toks, cands) if len(m) else []
+        if not ties:
             return []
-        p = m[:, 9] + m[:, 10]
-        out = []
-        for i in np.flatnonzero(p > SKIP_LEAST):
-            w = plain[toks[i][0] : toks[i][1]]
-            if len(w) > 2 and w[0].isupper() and w.isalpha():
-                b, s = float(p[i]), float(np.exp(SKIP))
-                out.append((fold_token(w), int(i), float(np.log((s * b + 1 - b) / (b + s * (1 - b))))))
-        return out
-
-
-def _sample(blocks: DataFrame, entities: DataFrame) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """At most ``SAMPLE`` blocks of documents with recorded spans, with their spans."""
+        belief = np.clip(grouped(m[[i for i, _ in ties]]), 1e-9, 1)
+        before = dict(heard)
+        none = [0.0] * N_GROUPS
+        told = np.array([before.get(i, none) for i, _ in ties])
+        says = self.field.says(belief, told)
+        return [{"form": form, "token": i, "belief": b, "heard": h, "says": x} for (i, form), b, h, x in zip(ties, belief.tolist(), told.tolist(), says.tolist())]
+
+
+def _hubs(edges: DataFrame, skip: list[float], damp: float) -> DataFrame:
+    """What the hubs tell the tied tokens (``edges``: keys, form, token, belief, heard, says): keys,
+    token, ``told`` (a log message a group, 0 for outside) and ``moved``, by how much the token's
+    belief would move. A hub leaves out what the token itself said."""
+    total = [F.sum(F.col("says")[g]).alias(f"s{g}") for g in range(N_GROUPS)]
+    hubs = edges.groupBy("document_id", "form").agg(F.count("*").alias("n"), *total).filter("n > 1")
+    hubs = hubs.select("document_id", "form", F.array(*[f"s{g}" for g in range(N_GROUPS)]).alias("all"))
+    rest = F.zip_with("all", "says", lambda x, y: x - y)
+    parts = F.transform(rest, lambda x: F.exp(x - F.array_max(rest)))
+    strength = F.array(*[F.lit(float(np.expm1(w))) for w in skip])
+    total_of = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
+    logs = F.transform(F.zip_with("parts", strength, lambda x, w: F.struct(x.alias("x"), w.alias("w"))), lambda z: F.log1p(z["w"] * z["x"] / F.col("sum")))
+    heard = edges.join(hubs, ["document_id", "form"]).withColumn("parts", parts).withColumn("sum", total_of).withColumn("logs", logs)
+    fresh = F.transform("logs", lambda x: x - F.col("logs")[0])
+    told = F.zip_with(fresh, "heard", lambda new, old: F.lit(1.0 - damp) * new + F.lit(damp) * old) if damp else fresh
+    heard = heard.withColumn("told", told)
+    after = F.zip_with("belief", F.zip_with("told", "heard", lambda new, old: F.exp(new - old)), lambda b, k: b * k)
+    heard = heard.withColumn("after", after).withColumn("mass", F.aggregate("after", F.lit(0.0), lambda a, x: a + x))
+    moved = F.aggregate(F.zip_with("after", "belief", lambda x, b: F.abs(x / F.col("mass") - b)), F.lit(0.0), lambda a, x: a + x) / 2
+    return heard.select("document_id", "block_id", "token", "told", moved.alias("moved"))
+
+
+def _sample(blocks: DataFrame, entities: DataFrame) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
+    """At most ``SAMPLE`` blocks of documents with recorded spans, with their spans: half of them
+    blocks with spans, a quarter any others, and a quarter the blocks of whole documents, in which
+    tied tokens meet. Of a longer block the first ``SAMPLE_TEXT`` characters are learnt from."""
     ids = ["document_id", "block_id"]
     kind = F.upper(F.regexp_replace(F.trim("entity_type"), r"[\s-]+", "_"))
     named = entities.withColumn("kind", kind).filter(F.col("kind").isin(list(TYPE_NAMES)))
     good = valid_spans(named, blocks).join(named.select(*ids, "span_start", "span_end", "kind", "confidence"), [*ids, "span_start", "span_end"])
     found = good.groupBy(*ids, "span_start", "span_end").agg(F.max_by("kind", "confidence").alias("kind")).groupBy(*ids).agg(F.collect_list(F.struct("span_start", "span_end", "kind")).alias("spans"))
     seen = entities.select("document_id").distinct()
-    rows = blocks.filter("text is not null and text <> ''").join(seen, "document_id", "left_semi").dropDuplicates(ids)
+    rows = blocks.filter("text is not null and text <> ''").join(seen, "document_id", "left_semi").dropDuplicates(ids).join(found, ids, "left")
+    rows = rows.select("document_id", "block_id", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.filter(F.coalesce("spans", F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")), lambda x: x["span_end"] <= SAMPLE_TEXT).alias("spans"))
     h = F.xxhash64(*ids)
-    # of each kind half: blocks with spans and any others
-    with_spans = rows.join(found, ids).orderBy(h).limit(SAMPLE * 2 // 3)
-    others = rows.join(found.select(*ids), ids, "left_anti").withColumn("spans", F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")).orderBy(h).limit(SAMPLE // 3)
-    return [(r["text"], [(x["span_start"], x["span_end"], TYPE_NAMES[x["kind"]]) for x in r["spans"]]) for r in with_spans.select("text", "spans").unionByName(others.select("text", "spans")).collect()]
+    parts = [
+        rows.filter(F.size("spans") > 0).orderBy(h, *ids).limit(SAMPLE // 2), rows.filter(F.size("spans") == 0).orderBy(h, *ids).limit(SAMPLE // 4),
+        rows.orderBy(F.xxhash64("document_id"), h, *ids).limit(SAMPLE // 4),
+    ]
+    got = {(r["document_id"], r["block_id"]): r for part in parts for r in part.collect()}
+    return [(k[0], r["text"], [(x["span_start"], x["span_end"], TYPE_NAMES[x["kind"]]) for x in sorted(r["spans"])]) for k, r in sorted(got.items(), key=lambda kr: zlib.crc32("/".join(map(str, kr[0])).encode()))]
 
 
 def find_pii(blocks: DataFrame, entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -608,38 +740,46 @@ def find_pii(blocks: DataFrame, entities: DataFrame, rounds: int = ROUNDS) -> Da
     the stored text, end exclusive. Spans of a block don't overlap.
 
     ``entities`` are the incomplete records to learn from; without any the field finds nothing.
-    Blocks with null or empty text hold nothing; redelivered blocks count once."""
-    spark = blocks.sparkSession
+    Blocks with null or empty text hold nothing; redelivered blocks count once. With ``rounds`` 0
+    the chains alone decide; otherwise messages go round until no block's beliefs move by more than
+    ``CHANGE``, ``rounds`` times at most."""
     ids = ["document_id", "block_id"]
-    field = spark.sparkContext.broadcast(learn(_sample(blocks.select(*ids, "text"), entities)))
+    return label_blocks(blocks, learn(_sample(blocks.select(*ids, "text"), entities)), rounds)
+
+
+def label_blocks(blocks: DataFrame, learnt: Field, rounds: int = ROUNDS) -> DataFrame:
+    """``find_pii`` with a field that has been learnt."""
+    ids = ["document_id", "block_id"]
+    field = blocks.sparkSession.sparkContext.broadcast(learnt)  # its size is fixed: 2^BITS weights and the words of the sample
     texts = cut(spread(blocks.select(*ids, "text").filter("text is not null and text <> ''")).dropDuplicates(ids))
-    schema = "document_id string, block_id string, spans array<struct<s:int,e:int,t:string>>, skips array<struct<form:string,token:int,says:double>>"
+    schema = "document_id string, block_id string, spans array<struct<s:int,e:int,t:string>>, ties array<struct<form:string,token:int,belief:array<double>,heard:array<double>,says:array<double>>>"
 
-    def label(with_extra: bool):
+    def label(with_heard: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reader = Reader(field.value)
             for b in batches:
                 for lo in range(0, len(b), 1000):
                     part = b.iloc[lo : lo + 1000]
-                    extra = [[(x["token"], x["add"]) for x in e] for e in part["extra"]] if with_extra else None
-                    got = list(reader.batch(part["text"].tolist(), extra))
+                    heard = [[(x["token"], x["told"]) for x in e] for e in part["heard"]] if with_heard else None
+                    got = list(reader.batch(part["text"].tolist(), heard))
                     yield pd.DataFrame({
                         "document_id": part["document_id"].values, "block_id": part["block_id"].values,
                         "spans": [[{"s": s, "e": e, "t": t} for s, e, t in g[0]] for g in got],
-                        "skips": [[{"form": f, "token": i, "says": m} for f, i, m in g[1]] for g in got],
+                        "ties": [g[1] for g in got],
                     })
 
         return run
 
     state = cut(texts.mapInPandas(label(False), schema))
-    for _ in range(rounds):
-        edges = state.select(*ids, F.explode("skips").alias("x")).select(*ids, "x.form", "x.token", "x.says")
-        hubs = edges.groupBy("document_id", "form").agg(F.sum("says").alias("all"), F.count("*").alias("n")).filter("n > 1")
-        heard = edges.join(hubs, ["document_id", "form"]).withColumn("add", F.greatest(F.lit(-SKIP_MOST), F.least(F.lit(SKIP_MOST), F.col("all") - F.col("says"))))
-        extra = heard.filter("abs(add) > 0.05").groupBy(*ids).agg(F.collect_list(F.struct("token", "add")).alias("extra"))
-        # blocks that hear nothing keep their labels: another pass would give the same
-        again = texts.join(extra, ids).mapInPandas(label(True), schema)
-        state = cut(state.join(extra.select(*ids), ids, "left_anti").unionByName(again))
+    for n in range(rounds):
+        edges = state.select(*ids, F.explode("ties").alias("x")).select(*ids, "x.*")
+        told = _hubs(edges, learnt.skip.tolist(), 0.5 if n >= DAMPED else 0.0)
+        # blocks whose beliefs rest keep their labels and the messages these were made with
+        moved = cut(told.groupBy(*ids).agg(F.collect_list(F.struct("token", "told")).alias("heard"), F.sum("moved").alias("moved")).filter(F.col("moved") > CHANGE).drop("moved"))
+        if not moved.head(1):
+            break
+        again = texts.join(moved, ids).mapInPandas(label(True), schema)
+        state = cut(state.join(moved.select(*ids), ids, "left_anti").unionByName(again))
     found = state.select(*ids, F.explode("spans").alias("x"))
     return found.select(*ids, F.col("x.t").alias("entity_type"), F.col("x.s").alias("span_start"), F.col("x.e").alias("span_end"))
 

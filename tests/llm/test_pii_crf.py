@@ -86,3 +86,70 @@ def test_nothing_to_learn_from(spark, tables):
     b, e = tables
     assert P.find_pii(b, e.limit(0)).count() == 0
     assert P.find_pii(b.limit(0), e).count() == 0
+
+
+def test_hub_messages_against_enumeration(spark):
+    rng = np.random.default_rng(4)
+    f = P.Field(__import__("collections").Counter(), set())
+    f.skip = np.array([0.3, 1.0, 0.0, 2.0, 0.5, 1.7])
+    b = rng.dirichlet(np.ones(P.N_GROUPS), 3)
+    heard = rng.normal(size=(3, P.N_GROUPS)) * 0.2
+    says = f.says(b, heard)
+    rows = [("d", f"b{i}", "x", i, b[i].tolist(), heard[i].tolist(), says[i].tolist()) for i in range(3)] + [("d", "b9", "alone", 0, b[0].tolist(), heard[0].tolist(), says[0].tolist())]
+    df = spark.createDataFrame(rows, "document_id string, block_id string, form string, token int, belief array<double>, heard array<double>, says array<double>")
+    got = {r.block_id: r for r in P._hubs(df, f.skip.tolist(), 0.0).collect()}
+    assert set(got) == {"b0", "b1", "b2"}
+    psi = np.ones((P.N_GROUPS, P.N_GROUPS)) + np.diag(np.expm1(f.skip))
+    own = b / np.exp(heard)
+    own /= own.sum(1, keepdims=True)
+    for i in range(3):
+        rest = np.prod([psi @ own[j] for j in range(3) if j != i], axis=0)  # what the others say of each state of the hub
+        message = psi @ (rest / rest.sum())
+        assert np.allclose(np.exp(got[f"b{i}"].told), message / message[0])
+        after = own[i] * message
+        assert abs(got[f"b{i}"].moved - np.abs(after / after.sum() - b[i]).sum() / 2) < 1e-9
+
+
+def test_decoding_against_enumeration():
+    from collections import Counter
+    from itertools import product
+
+    f = P.Field(Counter(), set())
+    f.doubt = 0.35
+    rng = np.random.default_rng(1)
+    marg = [rng.dirichlet(np.full(len(P.LABELS), 0.4), n) for n in (1, 3, 2, 3)]
+    for m, path in zip(marg, f.decode(marg)):
+        worth = np.log(m + 1e-9)
+        worth[:, 0] -= f.doubt
+        ok = lambda p: P.LABELS[p[0]][0] != "I" and all(f.t[a, b] > -20 for a, b in zip(p, p[1:]))
+        best = max(sum(worth[i, y] for i, y in enumerate(p)) for p in product(range(len(P.LABELS)), repeat=len(m)) if ok(p))
+        assert ok(path) and abs(sum(worth[i, y] for i, y in enumerate(path)) - best) < 1e-9
+
+
+def test_a_far_token_alone_makes_a_label_right(spark):
+    rng = np.random.default_rng(2)
+    name = lambda: "".join(rng.choice(list("bdgklmnrstvz")) + rng.choice(list("aeiou")) for _ in range(3)).capitalize()
+    sample = []
+    for i in range(300):
+        n = name()
+        sample.append((f"Dr. {n} signed the paper.", [(4, 4 + len(n), "PERSON")]))
+        n = name()
+        sample.append((f"{n} was seen in the list.", [(0, len(n), "PERSON")] if i % 4 == 0 else []))
+    field = P.Field(__import__("collections").Counter(), {"signed", "the", "paper", "was", "seen", "in", "list"})
+    field.train([P.gold_labels(field, t, s, {}) for t, s in sample], 20)
+    field.trained = True
+    field.skip = np.array([0, 0, 0, 0, 0, 4.0])
+    rows = [("d", "b1", "Dr. Zarovu signed the paper."), ("d", "b2", "Zarovu was seen in the list."), ("e", "b3", "Zarovu was seen in the list."), ("d", "b4", "Mirago was seen in the list.")]
+    b = spark.createDataFrame(rows, "document_id string, block_id string, text string")
+    found = lambda rounds: {(r.block_id, r.entity_type, r.span_start, r.span_end) for r in P.label_blocks(b, field, rounds).collect()}
+    near = {("b1", "PERSON", 4, 10)}
+    assert found(0) == near and found(P.ROUNDS) == near | {("b2", "PERSON", 0, 6)}
+
+
+def test_misread_and_small_repeats_are_tied():
+    f = P.Field(__import__("collections").Counter(), {"the"})
+    text = "Brooks and Bro0ks and brooks met the 4405 the. br.ooks@x.org"
+    toks, _, plain, _, cands = f.read(text)
+    forms = [form for _, form in f.ties(plain, toks, cands)]
+    assert forms.count("brooks") == 3 and "the" not in forms and "44os" in forms
+    assert not any(form == "ooks" for form in forms) and "Eooks" in forms
