@@ -1,9 +1,11 @@
 """Subject areas of documents, from class-association rules.
 
 Parallel frequent-pattern growth over the sentences of hand-labelled documents finds which words,
-alone and together, speak for which subject; rules that a shorter rule says as well are pruned.
-Every sentence of every document is then judged by the rules it matches, and a subject is given
-where a stretch of a paragraph is devoted to it, with a threshold calibrated on the labels.
+alone and together, speak for which subject: each word's conditional sentences form a group that
+grows on its own. Rules that a shorter rule says as well are pruned. Every sentence of every
+document is then judged by the summed evidence of the rules it matches, a document by the expected
+number of sentences in the stretch of a paragraph most devoted to a subject, with a threshold
+calibrated on labelled documents that the rules have not seen.
 """
 
 from __future__ import annotations
@@ -15,21 +17,24 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import spread
+from quillspan.session import cut, spread
 
 #: Labelled documents to learn from, at most; chosen by the hash of their ids.
 LABELLED = 20_000
-#: A rule's words stand together in so many sentences at least, in so many documents a word.
-RULE_SENTENCES, WORD_DOCUMENTS = 4, 4
-#: A word counts as evidence from this share of one subject among the labelled documents with it.
-WORD_SHARE = 0.5
+#: Of these, one in so many is kept back to calibrate on.
+KEPT_BACK = 10
+#: A rule's words stand together in so many sentences at least, or in so small a share of them; a
+#: word alone in so many documents.
+RULE_SENTENCES, RULE_SHARE, WORD_DOCUMENTS = 4, 1e-4, 4
+#: A body of words this sure of a subject grows no further: no longer rule could say more. What a
+#: longer rule must add to every shorter one, in confidence and in standard errors.
+SURE, GAIN, ERRORS = 0.98, 0.02, 4.5
 #: A sentence of more words than LONG has lost its stops: it is read in pieces of about PIECE words.
 LONG, PIECE = 30, 12
-THRESHOLDS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+THRESHOLDS = tuple(x / 4 for x in range(3, 18))
 
 _BROKEN = re.compile(r"(?<=\w)[-¬­]\s*\n\s*(?=\w)")
 _NEW_ITEM = re.compile(r"\n\s*(?=(?:[•*\-–]|\d{1,3}[.)])\s)")
@@ -68,101 +73,112 @@ def _sentence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Judge:
     """Rules, and what they say about sentences and documents; lives in a worker."""
 
-    def __init__(self, rules: dict[tuple[str, ...], dict[str, float]], subjects: list[str]):
-        self.rules, self.subjects = rules, subjects
-        self.single = {r[0] for r in rules if len(r) == 1} | {w for r in rules for w in r}
+    def __init__(self, rules: dict[tuple[str, ...], dict[str, float]], prior: dict[str, float], rank: dict[str, int] | None = None):
+        self.rules = rules
+        self.base = {s: math.log(p / (1 - p)) for s, p in prior.items()}
         self.by_word: dict[str, list[tuple[str, ...]]] = defaultdict(list)
-        for r in rules:
-            self.by_word[r[0]].append(r)
-
-    def sentence(self, words: list[str]) -> str | None:
-        """The subject with more than half of the evidence, which is the sum of the calibrated
-        log-odds of the matching rules; a rule inside a longer matching one is not heard."""
-        met = sorted({w for w in words if w in self.single})
-        if not met:
-            return None
-        found: dict[tuple[str, ...], dict[str, float]] = {}
-        here = set(met)
-        for w in met:
-            for r in self.by_word.get(w, ()):
-                if here.issuperset(r):
-                    found[r] = self.rules[r]
+        for r in rules:  # found by its rarest word
+            self.by_word[min(r, key=lambda w: ((rank or {}).get(w, 0), w))].append(r)
+
+    def sentence(self, words: list[str]) -> dict[str, float]:
+        """How likely each subject is, against all others and none, from its share among documents and
+        the evidence: the sum of the log-odds of the matching rules. A rule inside a longer
+        matching one is not heard. Without any rule there is no subject."""
+        here = set(words)
+        found = {r for w in here if w in self.by_word for r in self.by_word[w] if len(r) == 1 or here.issuperset(r)}
+        if not found:
+            return {}
         inside = {s for r in found if len(r) > 1 for n in range(1, len(r)) for s in combinations(r, n)}
         evidence: dict[str, float] = defaultdict(float)
-        for r, says in found.items():
-            if r not in inside:
-                for subject, weight in says.items():
-                    evidence[subject] += weight
-        if not evidence:
-            return None
-        best = max(sorted(evidence), key=evidence.__getitem__)
-        return best if evidence[best] * 2 > sum(evidence.values()) else None
+        for r in found - inside:
+            for subject, weight in self.rules[r].items():
+                evidence[subject] += weight
+        odds = {s: math.exp(min(50.0, e + self.base[s])) for s, e in evidence.items()}
+        return {s: o / (1 + sum(odds.values())) for s, o in odds.items()}
 
     def document(self, text: str | None) -> dict[str, float]:
-        """For each subject the weight of the stretch of one paragraph most devoted to it: its
-        sentences count one, sentences of other subjects minus one, others minus a half."""
+        """For each subject the weight of the stretch of one paragraph most devoted to it: the sum
+        of its likelihood in the sentences, less the likeliest other subject's there, and less a
+        half of what is left where no subject is likely."""
         best: dict[str, float] = {}
         for paragraph in paragraphs(text):
             says = [self.sentence(words) for words in paragraph]
-            for subject in {s for s in says if s}:
+            for subject in {s for q in says for s, x in q.items() if x >= 0.5}:
                 run = top = 0.0
-                for s in says:
-                    run = max(0.0, run + (1.0 if s == subject else -0.5 if s is None else -1.0))
+                for q in says:
+                    own, other = q.get(subject, 0.0), max((x for s, x in q.items() if s != subject), default=0.0)
+                    run = max(0.0, run + own - other - 0.5 * max(0.0, 1 - own - other))
                     top = max(top, run)
                 if top > best.get(subject, 0.0):
                     best[subject] = top
         return best
 
 
-def mine_rules(sentences: DataFrame, subjects: list[str]) -> dict[tuple[str, ...], dict[str, float]]:
+def _grown(item: str, rows: list[tuple[tuple[str, ...], tuple[str, ...], int]], least: int) -> Iterator[tuple[tuple[str, ...], int, dict[str, int]]]:
+    """Frequent bodies of words whose last in the order is ``item``, from its conditional sentences
+    (words before it, subjects, times): (body, times, times a subject). A body grows by words that
+    stand before all of it. It does not grow by words that always stand beside it (the longer body
+    says the same), nor once it is sure of a subject."""
+    todo = [((item,), rows)]
+    while todo:
+        body, rows = todo.pop()
+        n, heads = 0, defaultdict(int)
+        for _, subjects, times in rows:
+            n += times
+            for s in subjects:
+                heads[s] += times
+        yield body, n, heads
+        if n < least or max(heads.values(), default=0) >= SURE * (n + 1):
+            continue
+        beside: dict[str, list] = defaultdict(list)
+        for before, subjects, times in rows:
+            for k, w in enumerate(before):
+                beside[w].append((before[:k], subjects, times))
+        for w, held in beside.items():
+            if len(held) >= least or sum(r[2] for r in held) >= least:
+                if len(held) == len(rows):
+                    continue
+                todo.append(((w, *body), held))
+
+
+def mine_rules(sentences: DataFrame) -> tuple[dict[tuple[str, ...], dict[str, float]], dict[str, float], dict[str, int]]:
     """Class-association rules from sentences (``d``, ``n``, ``subjects`` of the document, ``words``):
-    {words in order: {subject: weight}}. The weight is the log-odds of the rule's smoothed
-    confidence against the subject's share. A rule is pruned where its confidence is not above
-    that of a rule with fewer of its words."""
-    per_doc = sentences.select("d", "subjects", F.explode("words").alias("w")).distinct()
-    shares = per_doc.select("d", "subjects").distinct().select(F.explode("subjects").alias("s"), F.lit(1).alias("one")).groupBy("s").count()
-    total = per_doc.select("d").distinct().count()
-    prior = {r["s"]: r["count"] / max(1, total) for r in shares.collect()}
-    by = per_doc.select("w", F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("")))).alias("s"), (1 / F.greatest(F.size("subjects"), F.lit(1))).alias("part"))
-    counts = by.groupBy("w", "s").agg(F.sum("part").alias("part"), F.count("*").alias("n"))
-    words = counts.groupBy("w").agg(F.sum("part").alias("docs"), F.max(F.when(F.col("s") != "", F.col("n"))).alias("most"))
-    telling = words.filter((F.col("docs") >= WORD_DOCUMENTS) & (F.col("most") >= WORD_SHARE * F.col("docs"))).select("w")
-    vocabulary = {r["w"] for r in telling.collect()}
-    if not vocabulary:
-        return {}
-    kept = F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(vocabulary)])) if len(vocabulary) < 50 else None
-    if kept is None:
-        spark = sentences.sparkSession
-        known = F.broadcast(spark.createDataFrame([(w,) for w in sorted(vocabulary)], "w string"))
-        baskets = sentences.select("d", "n", "subjects", F.explode("words").alias("w")).join(known, "w").groupBy("d", "n").agg(F.first("subjects").alias("subjects"), F.collect_set("w").alias("words"))
-    else:
-        baskets = sentences.select("subjects", kept.alias("words")).filter(F.size("words") > 0)
-    baskets = baskets.select(F.array_union("words", F.transform("subjects", lambda s: F.concat(F.lit("="), s))).alias("items"))
-    n = baskets.count()
-    if not n:
-        return {}
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, RULE_SENTENCES / n)).fit(baskets).freqItemsets
-    freq: dict[tuple[str, ...], int] = {}
-    both: list[tuple[tuple[str, ...], str, int]] = []
-    short = sets.filter(F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, 3) & (F.size(F.filter("items", lambda x: x.startswith("="))) <= 1))
-    for r in short.toLocalIterator():
-        body = tuple(sorted(x for x in r["items"] if not x.startswith("=")))
-        head = [x[1:] for x in r["items"] if x.startswith("=")]
-        if head:
-            both.append((body, head[0], r["freq"]))
-        else:
-            freq[body] = r["freq"]
-    sure = {(body, head): (k + prior.get(head, 0.1)) / (freq[body] + 1) for body, head, k in both}
+    {words in order: {subject: weight}}, the subjects' shares among the documents, and in how many
+    documents each word stands. The weight is the log-odds of the rule's smoothed confidence
+    against the subject's share. A rule is pruned where its confidence is under a half, or not
+    clearly above that of each rule with fewer of its words.
+
+    What comes to the driver grows with the labelled sample, which is bounded."""
+    docs = sentences.select("d", "subjects").distinct()
+    shares = {r["s"]: r["n"] for r in docs.select(F.explode(F.concat("subjects", F.array(F.lit("")))).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    total = shares.pop("", 0)
+    if not total or not shares:
+        return {}, {}, {}
+    prior = {s: min(max(n / total, 1e-3), 1 - 1e-3) for s, n in shares.items()}
+    known = cut(sentences.select("d", F.explode("words").alias("w")).distinct().groupBy("w").agg(F.count("*").alias("docs")).filter(F.col("docs") >= WORD_DOCUMENTS))
+    rank = {r["w"]: r["docs"] for r in known.collect()}
+    baskets = sentences.select("d", "n", "subjects", F.explode("words").alias("w")).join(known, "w").groupBy("d", "n").agg(F.first("subjects").alias("subjects"), F.array_sort(F.collect_set(F.struct((-F.col("docs")).alias("k"), "w"))).alias("x"))
+    baskets = cut(baskets.select("subjects", F.transform("x", lambda x: x["w"]).alias("words")))
+    least = max(RULE_SENTENCES, math.ceil(RULE_SHARE * baskets.count()))
+    conditional = baskets.select("subjects", "words", F.posexplode("words").alias("k", "item")).select("item", "subjects", F.slice("words", F.lit(1), F.col("k")).alias("before")).groupBy("item", "before", "subjects").agg(F.count("*").alias("times"))
+
+    def grow(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        rows = [(tuple(b), tuple(s), int(t)) for b, s, t in zip(g["before"], g["subjects"], g["times"])]
+        out = []
+        for body, n, heads in _grown(key[0], rows, least):
+            # under a half no rule comes of it, and none is pruned by it
+            out += [(list(body), n, s, k) for s, k in heads.items() if k + prior[s] >= (0.5 - GAIN) * (n + 1)]
+        return pd.DataFrame(out, columns=["body", "n", "head", "k"])
+
+    mined = conditional.groupBy("item").applyInPandas(grow, "body array<string>, n long, head string, k long")
+    sure = {(tuple(sorted(r["body"])), r["head"]): ((r["k"] + prior[r["head"]]) / (r["n"] + 1), r["n"]) for r in mined.collect()}
     rules: dict[tuple[str, ...], dict[str, float]] = defaultdict(dict)
-    for (body, head), c in sure.items():
-        if c < 0.5 or c <= prior.get(head, 0.0):
-            continue
-        shorter = [sure.get((s, head), 0.0) for k in range(1, len(body)) for s in combinations(body, k)]
-        if any(c <= x + 0.02 for x in shorter):
-            continue
-        p = prior.get(head, 0.1)
-        rules[body][head] = math.log(c / (1 - c)) - math.log(p / (1 - p)) if 0 < p < 1 else 1.0
-    return dict(rules)
+    for (body, head), (c, n) in sure.items():
+        p = prior[head]
+        shorter = max((sure[part, head][0] for k in range(1, len(body)) for part in combinations(body, k) if (part, head) in sure), default=0.0)
+        if c >= 0.5 and c > p and (len(body) == 1 or (c > shorter + GAIN and c - shorter >= ERRORS * math.sqrt(max(shorter, p) * (1 - max(shorter, p)) / n))):
+            rules[body][head] = math.log(c / (1 - c)) - math.log(p / (1 - p))
+    return dict(rules), prior, rank
 
 
 def find_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,33 +189,44 @@ def find_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     unknown subjects and unknown documents are ignored; repeated rows count once. At most
     ``LABELLED`` labelled documents are learnt from, everything else covers all rows. Null and
     empty texts have no subject. Without usable labels there are no rules and no rows."""
+    judge, threshold, spelled = learn_subjects(documents, labels, subjects, doc_id, text)[:3]
     kind = documents.schema[doc_id].dataType.simpleString()
-    spelled = {r[0].strip().lower(): r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect()}
-    named = labels.select(F.col(doc_id).alias("d"), F.lower(F.trim("subject")).alias("s")).filter("d is not null").distinct()
-    named = named.filter(F.col("s").isNull() | F.col("s").isin(list(spelled)))
-    chosen = named.groupBy("d").agg(F.array_sort(F.collect_set("s")).alias("subjects")).orderBy(F.xxhash64("d"), "d").limit(LABELLED)
     corpus = documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).filter("t is not null and t <> ''")
-    learn = corpus.join(F.broadcast(chosen), "d").dropDuplicates(["d"]).repartition(documents.sparkSession.sparkContext.defaultParallelism, "d").persist()
-    sentences = learn.mapInPandas(_sentence_rows, f"d {kind}, n int, subjects array<string>, words array<string>").persist()
-    judge = Judge(mine_rules(sentences, list(spelled)), list(spelled))
-    sentences.unpersist()
+    found = spread(corpus).mapInPandas(_weights(judge), f"d {kind}, s string, w double").filter(F.col("w") >= threshold)
+    names = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv]) if spelled else F.create_map().cast("map<string,string>")
+    return found.select(F.col("d").alias(doc_id), names[F.col("s")].alias("subject"), F.col("w").alias("weight"))
 
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _weights(judge: Judge):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(d, s, w) for d, t in zip(b["d"], b["t"]) for s, w in sorted(judge.document(t).items())]
             yield pd.DataFrame(rows, columns=["d", "s", "w"])
 
-    schema = f"d {kind}, s string, w double"
-    given = learn.select("d", F.explode("subjects").alias("s"), F.lit(1).alias("given"))
-    met = learn.select("d", "t").mapInPandas(weights, schema)
-    test = met.join(given, ["d", "s"], "full").agg(*[F.sum(F.when((F.col("w") >= t) & (F.col("given") == 1), 1.0).otherwise(0.0)).alias(f"hit{i}") for i, t in enumerate(THRESHOLDS)], *[F.sum(F.when(F.col("w") >= t, 1.0).otherwise(0.0)).alias(f"all{i}") for i, t in enumerate(THRESHOLDS)], F.sum(F.coalesce("given", F.lit(0))).alias("true"))
+    return run
+
+
+def learn_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Judge, float, dict[str, str], dict[float, tuple[int, int, int]]]:
+    """The judge, the threshold, the subjects' spellings, and for every threshold how many (document,
+    subject) of the documents kept back it gives that are labelled, gives at all, and are labelled."""
+    kind = documents.schema[doc_id].dataType.simpleString()
+    spelled = {r[0].strip().lower(): r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect()}
+    named = labels.select(F.col(doc_id).alias("d"), F.lower(F.trim("subject")).alias("s")).filter("d is not null").distinct()
+    named = named.filter(F.col("s").isNull() | F.col("s").isin(list(spelled)))
+    chosen = named.groupBy("d").agg(F.array_sort(F.collect_set("s")).alias("subjects")).orderBy(F.xxhash64("d"), "d").limit(LABELLED)
+    corpus = documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).filter("t is not null and t <> ''")
+    learn = cut(corpus.join(F.broadcast(chosen), "d").dropDuplicates(["d"]))  # bounded by LABELLED
+    kept_back = F.pmod(F.xxhash64("d", F.lit("kept back")), F.lit(KEPT_BACK)) == 0
+    sentences = cut(spread(learn.filter(~kept_back)).mapInPandas(_sentence_rows, f"d {kind}, n int, subjects array<string>, words array<string>"))
+    judge = Judge(*mine_rules(sentences))
+
+    held = spread(learn.filter(kept_back))
+    met = held.select("d", "t").mapInPandas(_weights(judge), f"d {kind}, s string, w double")
+    given = held.select("d", F.explode("subjects").alias("s"), F.lit(1).alias("given"))
+    test = met.join(given, ["d", "s"], "full").agg(*[F.sum(F.when((F.col("w") >= t) & (F.col("given") == 1), 1).otherwise(0)).alias(f"hit{i}") for i, t in enumerate(THRESHOLDS)], *[F.sum(F.when(F.col("w") >= t, 1).otherwise(0)).alias(f"all{i}") for i, t in enumerate(THRESHOLDS)], F.sum(F.coalesce("given", F.lit(0))).alias("true"))
     r = test.first()
-    f1 = [2 * (r[f"hit{i}"] or 0) / max(1.0, (r[f"all{i}"] or 0) + (r["true"] or 0)) for i in range(len(THRESHOLDS))]
+    counts = {t: (r[f"hit{i}"] or 0, r[f"all{i}"] or 0, r["true"] or 0) for i, t in enumerate(THRESHOLDS)}
+    f1 = {t: 2 * hit / max(1, given + true) for t, (hit, given, true) in counts.items()}
     # labels hardly tell neighbouring thresholds apart: the middle one of those within half a percent of the best
-    good = [t for t, x in zip(THRESHOLDS, f1) if x >= max(f1) - 0.005]
-    threshold = good[(len(good) - 1) // 2]
-    learn.unpersist()
-
-    found = spread(corpus).mapInPandas(weights, schema).filter(F.col("w") >= threshold)
-    names = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv]) if spelled else F.create_map().cast("map<string,string>")
-    return found.select(F.col("d").alias(doc_id), names[F.col("s")].alias("subject"), F.col("w").alias("weight"))
+    good = [t for t in THRESHOLDS if f1[t] >= max(f1.values()) - 0.005]
+    return judge, good[(len(good) - 1) // 2], spelled, counts
