@@ -21,7 +21,11 @@ from quillspan.session import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 BLOCK = 1024
-BUCKETS = 256
+#: Rows of one bucket of the running counts; there are as many buckets as that takes, ``BUCKETS`` at
+#: least. Sums of up to ``BROADCAST`` buckets are broadcast, more are joined by exchange.
+BUCKET_ROWS, BUCKETS, BROADCAST = 100_000, 256, 200_000
+# How the byte-level vocabularies split text before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _GOLDEN = (math.sqrt(5) - 1) / 2
 _STEP = round(_GOLDEN * 2**53)
 
@@ -33,31 +37,32 @@ def count_tokens(df: DataFrame, text: str, folder: str = TOKENIZERS, vocabulary:
     schema = kept.schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import importlib.util
-
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_public_tokenizers", f"{folder}/__init__.py")
-        public = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(public)
         with open(f"{folder}/{vocabulary}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("mixture", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("mixture", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield b.assign(n_tokens=[len(enc.encode_ordinary(t)) if isinstance(t, str) else 0 for t in b[text]])
 
     return spread(kept).mapInPandas(run, schema)
 
 
-def running(df: DataFrame, group: str, bucket: Column, order: list[str], amount: str, out: str) -> DataFrame:
+def buckets_of(rows: int) -> int:
+    return max(BUCKETS, math.ceil(rows / BUCKET_ROWS))
+
+
+def running(df: DataFrame, group: str, bucket: Column, order: list[str], amount: str, out: str, buckets: int) -> DataFrame:
     """``out``: the sum of ``amount`` over the rows of the group before each row, in the order of
-    bucket, then ``order``. Rows of a bucket sort together; over the buckets goes one row each."""
+    bucket (one of ``buckets``), then ``order``. Rows of a bucket sort together; over the buckets
+    goes one row each."""
     b = df.withColumn("_bucket", bucket)
     sums = b.groupBy(group, "_bucket").agg(F.sum(amount).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return b.withColumn("_in", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(F.broadcast(sums), [group, "_bucket"]).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_bucket", "_base", "_in")
+    sums = F.broadcast(sums) if buckets <= BROADCAST else sums
+    return b.withColumn("_in", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(sums, [group, "_bucket"]).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_bucket", "_base", "_in")
 
 
 def slots(spark, n: int, shares: list[tuple[str, float]]) -> DataFrame:
@@ -81,8 +86,9 @@ def slots(spark, n: int, shares: list[tuple[str, float]]) -> DataFrame:
     for s, edge in edges[1:]:
         source = F.when(F.col("point") >= F.lit(int(edge * 2**53)), F.lit(s)).otherwise(source)
     rows = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("source", source).withColumn("_one", F.lit(1))
-    width = max(1, math.ceil(n / BUCKETS))
-    return running(rows, "source", F.floor(F.col("slot") / width), ["slot"], "_one", "rank").select("slot", "source", "rank")
+    buckets = buckets_of(n)
+    width = max(1, math.ceil(n / buckets))
+    return running(rows, "source", F.floor(F.col("slot") / width), ["slot"], "_one", "rank", buckets).select("slot", "source", "rank")
 
 
 def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, seed: int = 0, folder: str = TOKENIZERS) -> DataFrame:
@@ -101,7 +107,8 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source
     rows = documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("t")).filter(F.col("source").isin(list(goal)))
     sized = count_tokens(rows, "t", folder).select("d", "source", "n_tokens").groupBy("source", "d").agg(F.max("n_tokens").alias("n_tokens")).filter("n_tokens > 0")
     sized = cut(sized.withColumn("h", F.xxhash64("d", F.lit(seed))))
-    stock = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
+    stock, buckets = {r["source"]: r["n"] for r in sums}, buckets_of(max((r["rows"] for r in sums), default=0))
     blocks = {s: stock[s] * goal[s][1] // block for s in stock}
     live = sorted((s, goal[s][0]) for s in blocks if blocks[s] > 0)
     if not live:
@@ -115,7 +122,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source
     if over is not None:
         plan = plan.filter(F.col("slot") < over)
 
-    laid = running(sized, "source", F.pmod("h", F.lit(BUCKETS)), ["h", "d"], "n_tokens", "begin")
+    laid = running(sized, "source", F.pmod("h", F.lit(buckets)), ["h", "d"], "n_tokens", "begin", buckets)
     round_of = F.create_map(*[x for s in stock for x in (F.lit(s), F.lit(stock[s]))])
     repeats = F.create_map(*[x for s in stock for x in (F.lit(s), F.lit(goal[s][1]))])
     used = laid.withColumn("use_no", F.explode(F.sequence(F.lit(0), repeats[F.col("source")] - 1)))

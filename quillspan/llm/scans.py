@@ -21,6 +21,8 @@ from quillspan.sources.tables import SCANS
 
 #: Share of the pages of a file on which a running line stands at least, and pages it needs.
 HEADER_SHARE, NUMBER_SHARE, PAGES = 0.12, 0.25, 2
+#: Lines at the top and at the foot of a page that may be running headers or page numbers.
+EDGE_LINES = 2
 #: How much more frequent the mended spelling must be.
 TIMES, LEAST = 8, 3
 
@@ -87,7 +89,7 @@ def page_marks(scans: DataFrame) -> DataFrame:
     lines = scans.filter("extraction_method = 'ocr' and page_number is not null").select("document_id", "page_number", "block_ord", "block_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
     page = Window.partitionBy("document_id", "page_number")
     edges = lines.withColumn("top", F.row_number().over(page.orderBy("block_ord", "block_id", "line_no"))).withColumn("end", F.row_number().over(page.orderBy(F.desc("block_ord"), F.desc("block_id"), F.desc("line_no"))))
-    edges = edges.filter("(top <= 2 or end <= 2) and length(line) <= 200").select("document_id", "page_number", "block_id", "line_no", "line")
+    edges = edges.filter(f"top <= {EDGE_LINES} or end <= {EDGE_LINES}").select("document_id", "page_number", "block_id", "line_no", "line")
     edges = cut(edges.mapInPandas(_edge_rows, "document_id string, page_number int, block_id string, line_no int, key string, nums array<int>, bare boolean, sure boolean"))
     pages = scans.filter("extraction_method = 'ocr' and page_number is not null").select("document_id", "page_number").distinct().groupBy("document_id").agg(F.count("*").alias("pages"))
 
@@ -98,7 +100,7 @@ def page_marks(scans: DataFrame) -> DataFrame:
 
     runs = edges.select("document_id", "page_number", F.explode("nums").alias("num")).withColumn("offset", F.col("num") - F.col("page_number"))
     runs = runs.select("document_id", "offset", "page_number").distinct().groupBy("document_id", "offset").agg(F.count("*").alias("n")).join(pages, "document_id")
-    steady = runs.filter((F.col("n") >= PAGES) & (F.col("n") >= NUMBER_SHARE * F.col("pages"))).groupBy("document_id").agg(F.collect_set("offset").alias("offsets"))  # at most 2 lines * 1 / NUMBER_SHARE values a file
+    steady = runs.filter((F.col("n") >= PAGES) & (F.col("n") >= NUMBER_SHARE * F.col("pages"))).groupBy("document_id").agg(F.collect_set("offset").alias("offsets"))  # at most 2 * EDGE_LINES / NUMBER_SHARE values a file and number of a line
     marked = edges.join(headers, ["document_id", "key"], "left").join(steady, "document_id", "left").join(pages, "document_id")
     runs_along = F.coalesce(F.exists("nums", lambda x: F.array_contains("offsets", x - F.col("page_number"))), F.lit(False))
     marked = marked.withColumn("is_header", F.coalesce("is_header", F.lit(False))).withColumn("is_number", (runs_along & (F.col("bare") | F.col("is_header"))) | (F.col("sure") & F.col("offsets").isNull()))

@@ -17,11 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.session import cut
+
 # Letters of other scripts that read as Latin letters. The first two are taken for
 # Latin even if a whole word consists of them, the third only inside words with Latin letters.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTYXaesijopcyxdhqw"))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"))
-_ONLY_IN_LATIN_WORDS = dict(zip("αγικρυχкмнтвգօսոհɑɡ", "ayikpuxkmhtbqounhag"))
+_ONLY_IN_LATIN_WORDS = {
+    **dict(zip("αγικρυχкмнтвգօսոհɑɡ", "ayikpuxkmhtbqounhag")),
+    **dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏒᏙᏚᏞᏟᏢᏦᏴ", "DRTiAJEWMHGhZbRVSLCPKB")),  # Cherokee
+    **dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc")),  # Coptic
+    **dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")),  # Lisu
+    **dict(zip("ոսցհյօԼՏ", "nughjoLS")),  # Armenian
+}
 #: Compatibility forms that stand for the same letter, digit or space; raised, circled, squared
 #: and fraction forms mean something else and stay.
 _SAME = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -234,7 +242,10 @@ def usual_form(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     columns are left out, whatever their names."""
     base = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.col(f"`{text}`").alias("t"))
     plain = base.filter(F.col("t").isNull() | ~F.col("t").rlike(_SPECIAL)).distinct().select("k", "t", F.col("t").alias("clean"), F.lit(False).alias("is_case"))
-    odd = base.filter(F.col("t").rlike(_SPECIAL)).distinct().withColumn("h", F.xxhash64("t")).join(unusual_texts(df, keys, text), ["k", "h"]).select("k", "t", "clean", "is_case")
+    # the odd texts are read once, for the code points and for the join
+    odd = cut(base.filter(F.col("t").rlike(_SPECIAL)).distinct())
+    done = unusual_texts(odd.select("k.*", F.col("t").alias("_t")) if "_t" not in keys else df, keys, "_t" if "_t" not in keys else text)
+    odd = odd.withColumn("h", F.xxhash64("t")).join(done, ["k", "h"]).select("k", "t", "clean", "is_case")
     both = plain.unionByName(odd)
     return both.select(*[F.col("k")[k].alias(k) for k in keys], F.col("t").alias(text), F.col("clean").alias("clean_text"), "is_case")
 
