@@ -84,3 +84,60 @@ def mail_persons(values: DataFrame, people: DataFrame) -> DataFrame:
     near = mail.join(known, ["scope_id", "surname"]).filter(F.col("i").isNull() | (F.col("i") == F.col("initial")))
     one = near.groupBy("scope_id", "identity").agg(F.count("*").alias("n"), F.min(F.struct("first_name", "last_name")).alias("x")).filter("n = 1")
     return one.select("scope_id", "identity", "x.first_name", "x.last_name")
+
+
+# What reports may name.
+PAGE_STATUSES = ("native", "ocr", "failed")
+IMAGE_STATUSES = ("ocr", "skipped_vector", "skipped_tiny", "failed", "unknown")
+LOCATIONS = ("image", "header", "footer", "text_box", "notes", "table", "scanned_page", "body", "unknown")
+METHODS = ("native", "pdf_native", "docx_native", "pptx_native", "ocr", "embedded_image_ocr", "figure_ocr")
+DETECTORS = (
+    "presidio:SpacyRecognizer", "presidio:EmailRecognizer", "presidio:PhoneRecognizer", "presidio:IpRecognizer", "presidio:CreditCardRecognizer", "presidio:IbanRecognizer", "presidio:UsSsnRecognizer",
+    "regex:email", "regex:email_ocr", "regex:labelled_phone", "regex:phone", "regex:phone_short", "regex:ssn", "regex:ssn_last4", "regex:ssn_ocr", "regex:ip", "regex:iban", "regex:credit_card", "regex:in_pan", "regex:passport", "regex:pesel", "regex:pesel_checksum", "regex:tin", "regex:dob", "regex:account_ending", "regex:us_address",
+    "custom:employee_id", "custom:client_id", "custom:customer_id", "custom:portfolio_id", "custom:account_number", "custom:personnel_id", "name_sweep", "name_sweep_ocr", "pattern:ocr_email", "pattern:ocr_labelled_id", "pattern:ocr_ip", "pattern:ocr_dob",
+    "context:column_role", "context:wrapped_value", "context:figure_duplicate", "pattern:name_with_initial", "context:table_header", "context:split_phone", "context:role_name", "gate:personnel_context", "gate:id_shape", "gate:digit_run", "gate:email_shape", "gate:name_registry", "gate:unissued_placeholder",
+)
+
+
+def safe_counts(counts: DataFrame, known: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
+    """Rows (document_id, dimension, value, n) with nothing in them that a report may not name
+    (AUD-4): of each dimension in ``known`` (its values, and what others count as) the counts that
+    are not negative; other dimensions are left out. What is renamed alike is summed."""
+    value = F.lit(None).cast("string")
+    for name, (values, other) in known.items():
+        value = F.when(F.col("dimension") == name, F.when(F.col("value").isin(*values), F.col("value")).otherwise(other)).otherwise(value)
+    rows = counts.withColumn("value", value).filter("value is not null and n >= 0")
+    return rows.groupBy("document_id", "dimension", "value").agg(F.sum("n").alias("n"))
+
+
+#: The dimensions of ``counts_by`` as ``safe_counts`` takes them.
+SAFE = {"category": (CATEGORIES, "OTHER"), "location": (LOCATIONS, "unknown"), "risk": (L.TIERS, "MEDIUM"), "image": (IMAGE_STATUSES, "unknown")}
+
+
+def safe_pages(pages: DataFrame) -> DataFrame:
+    """Page reports (document_id, page, status, attempts, seconds) fit to export (AUD-4): pages from 1
+    on, known states, attempts and seconds that are real and not negative; else null."""
+    seconds = F.when((F.col("seconds") >= 0) & (F.col("seconds") < float("inf")) & ~F.isnan("seconds"), F.col("seconds"))
+    return pages.filter("page >= 1").select("document_id", "page", F.when(F.col("status").isin(*PAGE_STATUSES), F.col("status")).otherwise("unknown").alias("status"), F.when(F.col("attempts") >= 0, F.col("attempts")).alias("attempts"), seconds.alias("seconds"))
+
+
+def safe_audit_id(c: Column) -> Column:
+    """A correlation id in the form of a UUID, in lower case; null if it is none."""
+    return F.when(c.rlike(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"), F.lower(c))
+
+
+def residual_diagnostics(residuals: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What may be told of residuals (AUD-6), without text and places: document_id, entity_type,
+    detectors (those that are known, sorted), page (from 1 on, else null) and extraction_method."""
+    b = blocks.select(*BLOCK, "page_number", "extraction_method")
+    detectors = F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce("detector", F.lit("")), r"\|"), lambda d: d.isin(*DETECTORS))))
+    rows = residuals.select(*BLOCK, "entity_type", "detector").join(b, BLOCK, "left")
+    return rows.select(
+        "document_id", F.when(F.col("entity_type").isin(*CATEGORIES), F.col("entity_type")).otherwise("OTHER").alias("entity_type"), detectors.alias("detectors"),
+        F.when(F.col("page_number") > 0, F.col("page_number")).alias("page"), F.when(F.col("extraction_method").isin(*METHODS), F.col("extraction_method")).otherwise("unknown").alias("extraction_method"),
+    )
+
+
+def safe_location(block: dict[str, Column]) -> Column:
+    """The places of a block that a record may hold (RED-6): whole numbers from 0 on, else null."""
+    return F.struct(*[F.when(c.cast("long") >= 0, c.cast("int")).alias(name) for name, c in block.items()])

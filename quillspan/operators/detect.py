@@ -11,7 +11,7 @@ from quillspan.functions import spans as S
 from quillspan.operators import lookups as L
 from quillspan.operators.rules import CUSTOM_RULES, NAME_RULES, RULES, Rule
 
-FOUND = "array<struct<s:int,e:int,entity_type:string,confidence:double,detector:string,typed:boolean>>"
+FOUND = "array<struct<s:int,e:int,entity_type:string,confidence:double,detector:string,typed:boolean,apart:boolean>>"
 ALL_RULES = (*RULES, *CUSTOM_RULES, *NAME_RULES)
 
 
@@ -19,19 +19,21 @@ def _of_rule(text: Column, r: Rule) -> Column:
     got = S.matches(text, r.pattern, 2 if r.before else 0, 1 if r.before else None, r.hint)
     if r.check is not None:
         got = F.filter(got, lambda x: r.check(x["v"]))
-    return F.transform(got, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(r.entity_type).alias("entity_type"), F.lit(r.confidence).alias("confidence"), F.lit(r.detector).alias("detector"), F.lit(r.typed).alias("typed")))
+    return F.transform(got, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(r.entity_type).alias("entity_type"), F.lit(r.confidence).alias("confidence"), F.lit(r.detector).alias("detector"), F.lit(r.typed).alias("typed"), F.lit(r.apart).alias("apart")))
 
 
 def with_found(blocks: DataFrame, rules: Sequence[Rule] = ALL_RULES, text: str = "text", out: str = "found") -> DataFrame:
     """``blocks`` with ``out``: the spans of all rules, in the rules' order. The first rule to claim
-    a span keeps it; a typed rule also keeps a span that rules of other types claimed. Null or
-    blank text has none."""
+    a span keeps it; a typed rule also keeps a span that rules of other types claimed, an ``apart``
+    rule gives way to spans around its own. Null or blank text has none."""
     t = F.col(f"`{text}`")
     names = [f"_rule{i}" for i in range(len(rules))]
     staged = blocks.select("*", *[_of_rule(t, r).alias(n) for r, n in zip(rules, names)])
     every = F.flatten(F.array(*names)) if names else F.array()
     staged = staged.withColumn("_all", F.coalesce(every.cast(FOUND), F.array().cast(FOUND)))
-    first = F.filter("_all", lambda x, i: ~F.exists(F.slice("_all", F.lit(1), i), lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]) & (~x["typed"] | (y["entity_type"] == x["entity_type"]))))
+    same = lambda x, y: (y["s"] == x["s"]) & (y["e"] == x["e"]) & (~x["typed"] | (y["entity_type"] == x["entity_type"]))
+    around = lambda x, y: x["apart"] & (y["s"] <= x["s"]) & (x["e"] <= y["e"])
+    first = F.filter("_all", lambda x, i: ~F.exists(F.slice("_all", F.lit(1), i), lambda y: same(x, y) | around(x, y)))
     return staged.withColumn(out, first).drop(*names, "_all")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import spans as S
-from quillspan.operators.rules import PERSONNEL_LABEL, PERSONNEL_VALUE, personnel_value_ok
 
 # Shapes that are looked for once more, whatever detection found.
 GENERIC = r"\[[A-Z][A-Z_]*\]"
@@ -16,6 +15,17 @@ DIGIT_RUN = r"(?<![\w-])\+?\(?\d[\d ().-]*\d(?![\w-])"
 ID_SHAPES = (r"\b(?:EMP|DIR|MER|CUST|CLI|ACC)-?\s?(?:[A-Z]{2}-)?\d{4,10}\b", r"\b[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z]\b", r"\b\d{3}-\d{2}-\d{4}\b")
 RECORDS = r"\b[A-Z]{2,4}-(?:19|20)\d{2}-\d{2,5}\b|\b(?:RSK|ISS|INC|BRC|PBR|EXC|CHL|SPK|LOS|CTL|GRP)-(?:[A-Z]{2,4}-)?\d{2,6}\b"
 MIN_CONFIDENCE = 0.40
+# The gate's own personnel patterns, apart from the rules of detection on purpose.
+PERSONNEL_HEADER = r"\b(?:employee|staff|personnel|associate)[ \t]+(?:id|number|no\.?|code)(?!\w)"
+PERSONNEL_TOKEN = r"(?<![\w-])[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+){0,2}(?![\w-])"
+PERSONNEL_RECORD = r"(?i)[A-Z]{2,8}-(?:19|20)\d{2}-\d{2,5}"
+PERSONNEL_TIMESTAMP = r"(?i)(?:19|20)\d{2}-\d{2}-\d{2}T\d{2}"
+
+
+def personnel_token_ok(v: Column) -> Column:
+    """A number of 5 to 10 digits or a code with letters and digits that is no record and no moment."""
+    number, code = v.rlike(r"^\d{5,10}$"), F.length(v).between(5, 24) & v.rlike(r"[A-Za-z].*\d|\d.*[A-Za-z]")
+    return (number | code) & ~v.rlike(f"^(?:{PERSONNEL_RECORD})$") & ~v.rlike(f"^(?:{PERSONNEL_TIMESTAMP})$")
 
 
 def digit_run_ok(v: Column) -> Column:
@@ -69,8 +79,8 @@ def residuals(texts: DataFrame, issued: DataFrame, text: str = "sanitized", head
         rows = rows.join(places, ids, "left")
     staged = rows.select(
         "*", intentional(t, F.col("issued")).alias("_own"), S.matches(t, RECORDS, hint=r"-\d").alias("_records"),
-        F.filter(S.matches(t, rf"(?i)({PERSONNEL_LABEL}[ \t]*(?:[:=#][ \t]*)?)([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+){{0,2}})(?![\w-])", 2, 1, "(?i)employee|staff|personnel|associate"), lambda x: personnel_value_ok(x["v"])).alias("_labelled"),
-        (F.when(F.col(header).rlike("(?i)" + PERSONNEL_LABEL), F.filter(S.matches(t, PERSONNEL_VALUE), lambda x: personnel_value_ok(x["v"]))) if header else F.lit(None)).alias("_column"),
+        F.filter(S.matches(t, rf"(?i)({PERSONNEL_HEADER}[ \t]*(?:[:=#][ \t]*)?)([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+){{0,2}})(?![\w-])", 2, 1, "(?i)employee|staff|personnel|associate"), lambda x: personnel_token_ok(x["v"])).alias("_labelled"),
+        (F.when(F.col(header).rlike("(?i)" + PERSONNEL_HEADER), F.filter(S.matches(t, PERSONNEL_TOKEN), lambda x: personnel_token_ok(x["v"]))) if header else F.lit(None)).alias("_column"),
         F.filter(S.matches(t, NUMBERED, hint=r"\["), lambda x: ~F.array_contains("issued", x["v"])).alias("_unissued"),
         F.filter(S.matches(t, EMAIL_SHAPE, hint="@"), lambda x: email_shape_ok(x["v"])).alias("_mail"),
         F.concat(*[S.matches(t, p, hint=r"\d") for p in ID_SHAPES]).alias("_shape"),
@@ -87,6 +97,13 @@ def residuals(texts: DataFrame, issued: DataFrame, text: str = "sanitized", head
     return best.select(*ids, F.col("s").alias("span_start"), F.col("e").alias("span_end"), F.col("b.entity_type").alias("entity_type"), F.lit(1.0).alias("confidence"), F.col("b.detector").alias("detector"))
 
 
+def known_by_models_alone(detector: Column) -> Column:
+    """Whether nothing but a name model saw a span: on sanitized text no place is taken from it alone
+    (GATE-4)."""
+    names = F.filter(F.split(detector, r"\|"), lambda d: F.trim(d) != "")
+    return (F.size(names) > 0) & F.forall(names, lambda d: d.startswith("presidio:"))
+
+
 def column_headers(cells: DataFrame) -> DataFrame:
     """Table cells below the first row with ``header``, the text of their column's first cell."""
     w = Window.partitionBy("document_id", "page_number", "slide_number", "table_number", "column_number")

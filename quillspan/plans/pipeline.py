@@ -103,16 +103,13 @@ def run(blocks: DataFrame, files: DataFrame, rules: Sequence[Rule] = ALL_RULES,
         named = cut(registry.sweep(plain.withColumn("scope_id", F.col("document_id")), own.people))
         checked = cut(gate.residuals(headed, issued, header="header", named=named))
         again = find(plain, rules, ordinary=ordinary).entities.filter(f"confidence >= {gate.MIN_CONFIDENCE}")
-        again = gate.outside(again, text, issued)
+        again = gate.outside(again, text, issued).filter(~((F.col("entity_type") == "LOCATION") & gate.known_by_models_alone(F.col("detector"))))
         left = cut(merge_entities(checked.unionByName(again)))
         hit = left.filter(F.col("detector").contains("gate:")).select("document_id").distinct()
         sticky = hit if sticky is None else sticky.union(hit).distinct()
         if n + 1 < passes:
             more = cut(registry.resolved(redact.values(left, clean.withColumnRenamed("sanitized", "text"), files), own.scope_people))
-            taken = issued.groupBy("scope_id", "canonical_type").agg(F.max("n").alias("base"))
-            new = redact.tokens(more).join(issued.select("scope_id", "canonical_type", "identity"), ["scope_id", "canonical_type", "identity"], "left_anti")
-            new = new.join(taken, ["scope_id", "canonical_type"], "left").withColumn("n", F.col("n") + F.coalesce("base", F.lit(0))).withColumn("token", redact.token(F.col("canonical_type"), F.col("n"))).drop("base")
-            issued = issued.unionByName(new)
+            issued = cut(issued.unionByName(redact.tokens(more, issued)))
             clean = cut(redact.sanitized(clean.withColumnRenamed("sanitized", "text"), more, issued))
     doubtful = cut(gate.outside(context.image_names(plain, ordinary), text, issued))
     decision = gate.decide(files, left, doubtful)

@@ -149,7 +149,7 @@ _VALUES = f"""{_MERGED},
 bl AS (SELECT DISTINCT document_id, block_id, block_ord, text FROM blocks),
 sf AS (SELECT DISTINCT document_id, scope_id, doc_ord FROM source_files),
 vals AS (SELECT m.*, scope_id, doc_ord, block_ord, {_CANON} AS canonical_type, substring(text, span_start + 1, span_end - span_start) AS value FROM merged m JOIN bl USING (document_id, block_id) JOIN sf USING (document_id)),
-ident AS (SELECT *, CASE WHEN canonical_type = 'EMAIL' AND contains(trim(value), '@') THEN regexp_extract(trim(value), '(?s)^(.*@)[^@]*$', 1) || lower(regexp_extract(trim(value), '([^@]*)$', 1)) ELSE trim(value) END AS identity FROM vals),
+ident AS (SELECT *, CASE WHEN canonical_type = 'EMAIL' AND contains(trim(value), '@') THEN regexp_extract(trim(nfc_normalize(value)), '(?s)^(.*@)[^@]*$', 1) || lower(regexp_extract(trim(nfc_normalize(value)), '([^@]*)$', 1)) ELSE trim(nfc_normalize(value)) END AS identity FROM vals),
 firsts AS (SELECT scope_id, canonical_type, identity, min((doc_ord, block_ord, span_start)) AS pos, count(*) AS uses FROM ident GROUP BY scope_id, canonical_type, identity),
 tok AS (SELECT scope_id, canonical_type, identity, uses, row_number() OVER (PARTITION BY scope_id, canonical_type ORDER BY pos, identity) AS n FROM firsts),
 tokens AS (SELECT *, '[' || canonical_type || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || ']' AS token FROM tok)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -131,7 +132,8 @@ READERS = {"docx": docx_blocks, "pptx": pptx_blocks}
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all DOCX and PPTX files under ``path``. A file that can't be read, or of another
-    kind, comes out as one row with ``error`` and no text, and fails no other file."""
+    kind, comes out as one row with ``error`` and no text, and fails no other file. A document's id
+    is a hash of its path, so files of one name in two folders stay two."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +141,7 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
             for p, data in zip(b["path"], b["content"]):
                 name = p.rsplit("/", 1)[-1]
                 ending = name.rsplit(".", 1)[-1].lower()
-                base = {"document_id": re.sub(r"\W+", "-", name), "file_name": name, "file_type": ending}
+                base = {"document_id": hashlib.sha256(p.encode()).hexdigest()[:32], "file_name": name, "file_type": ending}
                 try:
                     if ending not in READERS:
                         raise ValueError("unsupported file type")
