@@ -261,7 +261,7 @@ def attached_characters(blocks: DataFrame, entities: DataFrame) -> DataFrame:
     """Detections of scans widened over what is glued to them, and mail over an initial whose dot was
     read as a blank."""
     e = _in_scans(blocks, entities)
-    glued = F.length(F.regexp_extract("before", r"[\p{L}\p{N}]*$", 0))
+    glued = F.length(F.regexp_extract("before", r"[\p{L}\p{N}]*\z", 0))
     tail = F.regexp_replace(F.regexp_extract("after", r"^\S*", 0), r"[,.;:)\]}'\"]+$", "")
     initial = F.when((F.col("entity_type") == "EMAIL_ADDRESS") & F.expr("substring(text, 1, span_start)").substr(F.lit(1), F.col("span_start") - glued).rlike(r"(?<![\w.])[a-z][ \t]$"), 2).otherwise(0)
     e = e.withColumn("s", F.col("span_start") - glued - initial).withColumn("e", F.col("span_end") + F.length(tail)).filter("s <> span_start or e <> span_end")

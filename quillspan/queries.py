@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import audit, context, evaluate, gate, redact, registry
+from quillspan.operators import audit, context, evaluate, gate, redact, registry, repair
 from quillspan.operators import lookups as L
-from quillspan.operators.detect import detect, raw_spans, redact_in_place
+from quillspan.operators.detect import detect, redact_in_place, with_found
 from quillspan.operators.intervals import merge_intervals, valid_spans
 from quillspan.operators.merge import merge_entities, risk, risk_summary, valid_entities
-from quillspan.operators.rules import CUSTOM_RULES, NAME_RULES, RULES
+from quillspan.operators.rules import _DATE, _LABELLED, CUSTOM_RULES, NAME_RULES, RULES
 from quillspan.plans import pipeline
+from quillspan.session import cut
 from quillspan.sources.tables import blocks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,8 @@ def query(name: str, sql: str | None = None):
 
 # ---- intervals ----
 
+#: Characters of one shard: texts of blocks run to some hundreds, so that most cross shards.
+P5_WIDTH = 64
 P5_SQL = """
 WITH len AS (SELECT document_id, block_id, max(length(text)) AS n FROM blocks WHERE text IS NOT NULL GROUP BY document_id, block_id),
 v AS (SELECT DISTINCT document_id, block_id, span_start AS s, span_end AS e FROM entities JOIN len USING (document_id, block_id)
@@ -55,12 +58,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "entities", "document_id", "block_id", "span_start", "span_end", "confidence"),
         table(spark, d, "blocks", "document_id", "block_id", "text"),
     )
-    return merge_intervals(spans, ["document_id", "block_id"], "span_start", "span_end")
+    return merge_intervals(spans, ["document_id", "block_id"], "span_start", "span_end", P5_WIDTH)
 
 
 # ---- detection rules ----
 
+# Texts that the tables lack, beside all blocks, so that every rule meets a case and its opposite.
+VECTORS = (
+    "M +1 (555) 0114", "call +44 (20) 7946-012 or +7 (12) 34-56", "Mobile: 555 0199", "Tel. (212) 555 0136 and T 555 01", "Phone: +1 212-555-0147, fax", "telephone : (020) 7946 0999", "SSN 900-12-3456 on file", "SSN 000-12-3456 and 123-00-4567",
+    "roster PAN ABCPD1234E listed", "PAN ABCXD1234E", "holder passport ZQ1234567 seen", "Passport no. ab123456", "PESEL 900101xxxxx", "pesel: 44051401359.", "Record 44051401359 archived", "Record 44051401358 archived", "EIN 98-7654321", "tax id no. 123456789 and TIN: 12-34567890",
+    "Ref 12-3456789 approved", "joint savings account ending in 9876.", "card that ends with 12345", "last four digits of your social security number (1234)", "last 4 digits 98765", "Social Security number (4321) given, SSN(99)", "ssn: 123 45 6789", "SSN 12-34-567 x", "Section 90.42.7781 of the manual",
+    "date of birth, 4 March 1988.", "DOB 12/03/1990 born on May 4, 1971", "born in 1990", "lives at 12 Maple Court, Apt 3B, Springfield, IL 62704 now", "Card 4111 1111 1111 1111 used", "Card 4111 1111 1111 1112 used", "card 9000000000000001", "IBAN GB29NWBK60161331926819 and GB29", "DE89370400440532013000.",
+    "OCR read D1R-0042 and DlR-0O42", "EMP-00421 EWP 0O421x EMF0I2l45", "MER- PH-2214, MER-AB-12", "Review complete. Staff No.: V8R_52A; proceed.", "Staff ID: ISS-2026-0112", "Staff ID: 1234", "Staff ID: 12345678901", "employee code 729104, associate id = AB12", "Employee ID: EMP-12345 employee no # 123456",
+    "client id: CLI-1234 client id=C-99999", "customer id # CUST-0001, customer id 12345", "portfolio id: AX-77771 portfolio id: 123", "Account: 1234567 account no: ACC-12345 account # 12", "Quentin R. Abernathy met Mia T. O", "Jean-Luc P. Duval-Roy, x", "mail ann.lee@mail.example.org, (bob@x.co) and @bob c@d", "10.0.0.256 and 10.20.30.40",
+)
+_V = ", ".join(f"('vector', 'v{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(VECTORS))
 _B = "(SELECT document_id, block_id, any_value(text) AS text FROM blocks WHERE text IS NOT NULL GROUP BY document_id, block_id)"
+_BV = f"(SELECT * FROM {_B} UNION ALL SELECT * FROM (VALUES {_V}) AS v(document_id, block_id, text))"
+
+
+def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.createDataFrame([("vector", f"v{i}", t) for i, t in enumerate(VECTORS)], "document_id string, block_id string, text string")
+    return blocks(spark, d, "document_id", "block_id", "text").unionByName(v)
+
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _LUHN = r"""
   length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN (length(dg) - i) % 2 = 1
@@ -74,8 +95,28 @@ _PESEL = r"""
   (10 - list_sum(list_transform(range(1, 11), lambda i: CAST(value[i] AS INT) * [1, 3, 7, 9, 1, 3, 7, 9, 1, 3][i])) % 10) % 10 = CAST(value[11] AS INT)
   AND CAST(value[3:4] AS INT) % 20 BETWEEN 1 AND 12 AND CAST(value[3:4] AS INT) // 20 BETWEEN 0 AND 4 AND CAST(value[5:6] AS INT) BETWEEN 1 AND 31
 """
-# rule: (pattern of RE2, group, condition); rules with look-behind have none and are tested against brute force
+_LEFT, _DIGITS = "(?:^|[^0-9A-Za-z])", "length(regexp_replace(value, '[^0-9]', '', 'g'))"
+_RIGHT = "(?:[^0-9A-Za-z]|$)"
+_PERSONNEL_OK = r"""(regexp_full_match(value, '[0-9]{5,10}') OR (length(value) BETWEEN 5 AND 24 AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')))
+  AND NOT regexp_full_match(value, '(?i)[A-Z]{2,8}-(?:19|20)\d{2}-\d{2,5}') AND NOT regexp_full_match(value, '(?i)(?:19|20)\d{2}-\d{2}-\d{2}T\d{2}')"""
+# rule: (pattern of RE2, group, condition); what a rule looks at beside its match is a part of the pattern here, outside the group
 _RULE_SQL: dict[str, tuple[str, int, str]] = {
+    "email": (r"(?i)(?:^|[^\w.@%+-])([A-Z0-9_%+-]+(?:\.[A-Z0-9_%+-]+)*@[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?(?:\.[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?)*\.[A-Z]{2,63})(?:[^\w@-]|$)", 1, "true"),
+    "labelled_phone_long": (r"(?i)\b(?:phone|telephone|mobile|tel)[ \t]*:[ \t]*((?:\+[1-9]\d{0,2}[ -])?(?:\(\d{2,4}\)|\d{2,4})(?:[ -]\d{2,4}){2,3}|\+[1-9]\d{9,14})(?:[^\w-]|$)", 1, f"{_DIGITS} BETWEEN 10 AND 15"),
+    "phone_short": (r"(?:^|[^\w+])(\+\d{1,3}[ \t]?\(\d{2,4}\)[ \t]?\d{3,4}(?:[ \t-]\d{3,4})?)(?:[^\d-]|$)", 1, f"{_DIGITS} >= 7"),
+    "labelled_phone": (r"\b(?:M|T|Mob|Mobile|Cell|Phone|Tel|Telephone)\b\.?:?[ \t]*(\(?\d{3}\)?[ .-]?\d{3,4}(?:[ .-]\d{3,4})?)(?:[^\d-]|$)", 1, f"{_DIGITS} >= 7"),
+    "pesel": (r"(?i:\bPESEL)[\s:#]*(\d{6}[\dXx]{5})\b", 1, "true"),
+    "tin": (r"(?i:\b(?:TIN|EIN|FEIN|tax\s*(?:payer\s*)?(?:id(?:entification)?)(?:\s*(?:no\.?|number|#))?)\b)[\s:#.-]*(\d{2}-?\d{7})(?:[^\d-]|$)", 1, "true"),
+    "ssn_last4": (r"(?i:\blast\s+(?:four|4)\s+digits\b)[^.\n]{0,60}?\(?(\d{4})(?:[^\d-]|$)", 1, "true"),
+    "ssn_last4_label": (r"(?i:\b(?:social\s+security(?:\s+number)?|SSN)\s*)\((\d{4})\)", 1, "true"),
+    "ssn_ocr": (r"(?i:\b(?:SSN|social\s+security(?:\s+(?:no\.?|number))?)\b)[\s:#]*(\d{2,3}[\s.,-]{1,2}\d{2}[\s.,-]{1,2}\d{3,4})(?:[^\d]|$)", 1, "true"),
+    "dob": (rf"(?i:\b(?:DOB|D\.O\.B\.?|date\s+of\s+birth|born(?:\s+on)?)\b)[\s:,-]*({_DATE})", 1, "true"),
+    **{f"custom_{t.lower()}": (rf"(?i)\b{label}[ \t]*(?::|=|#)[ \t]*({value})(?:[^\w-]|$)", 1, "true") for t, label, value in _LABELLED},
+    "custom_personnel": (r"(?i)\b(?:employee|staff|personnel|associate)[ \t]+(?:id|number|no\.?|code)(?:[ \t]+(?:[:=#][ \t]*)?|[:=#][ \t]*)([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+){0,2})(?:[^\w-]|$)", 1, _PERSONNEL_OK),
+    "standalone_emp": (rf"{_LEFT}(E[MW][PF]-?\s?[0-9OoIl|]{{5,8}}){_RIGHT}", 1, f"{_DIGITS} >= 3"),
+    "standalone_dir": (rf"{_LEFT}(D[I1l|]R-[0-9OoIl|]{{4}}){_RIGHT}", 1, "length(regexp_replace(right(value, 4), '[^0-9]', '', 'g')) >= 2"),
+    "standalone_mer": (rf"{_LEFT}(MER-\s*[A-Z]{{2}}-\d{{4}}){_RIGHT}", 1, "true"),
+    "name_with_initial": (r"(?:^|[^\w.-])([A-Z][a-z]+(?:-[A-Z][a-z]+)?[ \t]+[A-Z]\.[ \t]+[A-Z][a-z]+(?:-[A-Z][a-z]+)?)(?:[^\w-]|$)", 1, "true"),
     "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", 0, "left(value, 3) NOT IN ('000', '666') AND value[5:6] <> '00' AND right(value, 4) <> '0000'"),
     "ip": (rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b", 0, "true"),
     "iban": (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]{0,16})\b", 0, "true"),
@@ -90,11 +131,10 @@ _RULE_SQL: dict[str, tuple[str, int, str]] = {
 
 def _rule_query(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        b = blocks(spark, d, "document_id", "block_id", "text")
-        found = raw_spans(b, [_BY_NAME[name]]).join(b, _BLOCK)
-        return found.groupBy("document_id", "block_id", F.expr("substring(text, span_start + 1, span_end - span_start)").alias("value")).agg(F.count("*").alias("n"))
+        found = with_found(_with_vectors(spark, d), [_BY_NAME[name]]).select("document_id", "block_id", "text", F.explode("found").alias("x"))
+        return found.groupBy("document_id", "block_id", F.expr("substring(text, x.s + 1, x.e - x.s)").alias("value")).agg(F.count("*").alias("n"))
 
-    run.__doc__ = f"Values that the rule {name} finds in blocks."
+    run.__doc__ = f"Values that the rule {name} finds in blocks, and in texts made for the rules."
     return run
 
 
@@ -103,7 +143,7 @@ for _r in (*RULES, *CUSTOM_RULES, *NAME_RULES):
     if _r.name in _RULE_SQL:
         _p, _g, _cond = _RULE_SQL[_r.name]
         _quoted = _p.replace("'", "''")
-        _sql = f"SELECT document_id, block_id, value, count(*) AS n FROM (SELECT document_id, block_id, unnest(regexp_extract_all(text, '{_quoted}', {_g})) AS value FROM {_B}), LATERAL (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS dg) WHERE {_cond} GROUP BY document_id, block_id, value"
+        _sql = f"SELECT document_id, block_id, value, count(*) AS n FROM (SELECT document_id, block_id, unnest(regexp_extract_all(text, '{_quoted}', {_g})) AS value FROM {_BV}), LATERAL (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS dg) WHERE {_cond} GROUP BY document_id, block_id, value"
     query(f"rule_{_r.name}", _sql)(_rule_query(_r.name))
 
 
@@ -278,12 +318,13 @@ def gate5d_email_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("gate9_decision", f"""
-WITH {_MERGED}, f AS (SELECT DISTINCT document_id, ocr_failed_pages FROM source_files), n AS (SELECT document_id, count(*) AS residual_count FROM merged WHERE contains(detector, 'context:') GROUP BY document_id)
-SELECT document_id, coalesce(residual_count, 0) AS residual_count, CASE WHEN len(coalesce(ocr_failed_pages, [])) > 0 OR coalesce(residual_count, 0) > 0 THEN 'BLOCKED' ELSE 'APPROVED' END AS status FROM f LEFT JOIN n USING (document_id)""")
+WITH {_MERGED}, f AS (SELECT DISTINCT document_id, ocr_failed_pages FROM source_files), n AS (SELECT document_id, count(*) AS residual_count, bool_or(contains(detector, 'gate:')) AS independent FROM (SELECT document_id, replace(detector, 'context:', 'gate:') AS detector FROM merged WHERE contains(detector, 'context:') OR confidence < 0.5) GROUP BY document_id)
+SELECT document_id, coalesce(residual_count, 0) AS residual_count, coalesce(independent, false) AS independent, CASE WHEN len(coalesce(ocr_failed_pages, [])) > 0 OR coalesce(residual_count, 0) > 0 THEN 'BLOCKED' ELSE 'APPROVED' END AS status FROM f LEFT JOIN n USING (document_id)""")
 def gate9_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Status of documents when detections from context count as residuals."""
-    left = _merged(spark, d).filter(F.col("detector").contains("context:"))
-    return gate.decide(table(spark, d, "source_files", "document_id", "ocr_failed_pages"), left).select("document_id", "residual_count", "status")
+    """Status of documents when unsure detections and those from context count as residuals, the
+    latter as if independent checks had found them."""
+    left = _merged(spark, d).filter(F.col("detector").contains("context:") | (F.col("confidence") < 0.5)).withColumn("detector", F.replace("detector", F.lit("context:"), F.lit("gate:")))
+    return gate.decide(table(spark, d, "source_files", "document_id", "ocr_failed_pages"), left).select("document_id", "residual_count", "independent", "status")
 
 
 # ---- audit and files ----
@@ -365,14 +406,32 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d, "document_id", "block_id", "block_ord", "text", "kind", "page_number", "slide_number", "table_number", "row_number", "column_number")
 
 
-@query("ctx1_header_phones")
+# A table that the data lack: (row, column, text).
+CELLS = ((1, 1, "Name"), (1, 2, "Direct line"), (1, 3, "Staff Code"), (1, 4, "Project Code"), (2, 1, "Ann"), (2, 2, "(212) 555-0147"), (2, 3, "V8R52A"), (2, 4, "482731"), (3, 1, "Bob"), (3, 2, "ext. 12"), (3, 3, "729104 or ISS-2026-0112"), (3, 4, "AB12C"))
+_CELLS_SQL = "cells AS (SELECT DISTINCT document_id, block_id, text, page_number, slide_number, table_number, row_number, column_number FROM blocks WHERE kind = 'table_cell' AND row_number IS NOT NULL AND column_number IS NOT NULL UNION ALL SELECT 'vector', r || '/' || c, t, NULL, NULL, 1, r, c FROM (VALUES " + ", ".join(f"({r}, {c}, '{t}')" for r, c, t in CELLS) + ") AS v(r, c, t)), heads AS (SELECT *, max(CASE WHEN row_number = 1 THEN text END) OVER (PARTITION BY document_id, page_number, slide_number, table_number, column_number) AS header FROM cells)"
+
+
+def _all_cells(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.createDataFrame([("vector", f"{r}/{c}", 0, t, "table_cell", None, None, 1, r, c) for r, c, t in CELLS], "document_id string, block_id string, block_ord long, text string, kind string, page_number int, slide_number int, table_number int, row_number int, column_number int")
+    return _cells(spark, d).unionByName(v)
+
+
+def _values_of(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    return spans.join(texts.select(*_BLOCK, "text"), _BLOCK).groupBy(*_BLOCK, F.expr("substring(text, span_start + 1, span_end - span_start)").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("ctx1_header_phones", rf"""WITH {_CELLS_SQL} SELECT document_id, block_id, value, count(*) AS n FROM (SELECT document_id, block_id, unnest(regexp_extract_all(text, '(?:^|\W)(\+?\(?\d[\d ().-]{{5,}}\d)(?:\W|$)', 1)) AS value FROM heads
+WHERE row_number > 1 AND regexp_matches(header, '(?i)\b(?:mobile|phone|tel|telephone|cell|direct line|contact)\b')) WHERE {_DIGITS} >= 7 GROUP BY 1, 2, 3""")
 def ctx1_header_phones(spark: SparkSession, d: str) -> DataFrame:
-    return context.header_phones(_cells(spark, d))
+    c = _all_cells(spark, d)
+    return _values_of(context.header_phones(c), c)
 
 
-@query("ctx2_header_personnel")
+@query("ctx2_header_personnel", rf"""WITH {_CELLS_SQL}, words AS (SELECT document_id, block_id, unnest(regexp_extract_all(regexp_replace(text, '([^\w-])', '\1\1', 'g'), '(?:^|[^\w-])([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+){{0,2}})(?:[^\w-]|$)', 1)) AS value FROM heads
+WHERE row_number > 1 AND regexp_matches(header, '(?i)\b(?:employee|staff|personnel|associate)[ \t]+(?:id|number|no\.?|code)(?:\W|$)')) SELECT document_id, block_id, value, count(*) AS n FROM words WHERE {_PERSONNEL_OK} GROUP BY 1, 2, 3""")
 def ctx2_header_personnel(spark: SparkSession, d: str) -> DataFrame:
-    return context.header_personnel(_cells(spark, d))
+    c = _all_cells(spark, d)
+    return _values_of(context.header_personnel(c), c)
 
 
 @query("ctx3_role_names")
@@ -402,9 +461,16 @@ def reg2_honorific_surnames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reg5_people_merged")
 def reg5_people_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The registered people of every scope, each once."""
     return registry.merge_people(table(spark, d, "people"))
 
 
+@query("reg8_resolved")
+def reg8_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of recorded values where a name is the one registered person it can mean."""
+    return registry.resolved(_values(spark, d), registry.merge_people(table(spark, d, "people"))).select("document_id", "block_id", "span_start", "canonical_type", "identity")
+
+
 @query("reg7_sweep")
 def reg7_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Registered names of each scope in its texts."""
@@ -465,18 +531,59 @@ def ev7_labels_found(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.labels_found(_labels(spark, d), pages)
 
 
-@query("ev10_slices", f"""
-WITH {_VALUES}, {_TRUTH}, g AS (SELECT DISTINCT document_id, canonical_type AS kind, lower(trim(value)) AS value FROM vals),
-j AS (SELECT DISTINCT row_id, document_id, entity_type, coalesce(location_type, '') AS location, coalesce(uncertain, false) AS residual, lower(trim(value_text)) AS value FROM label_rows JOIN (SELECT DISTINCT document_id, file_name FROM source_files) USING (file_name) WHERE value_text IS NOT NULL),
-q AS (SELECT j.*, g.document_id IS NOT NULL AS detected FROM j LEFT JOIN g ON j.document_id = g.document_id AND j.entity_type = g.kind AND j.value = g.value),
-s AS (SELECT entity_type, location, GROUPING(entity_type) AS a, GROUPING(location) AS b, count(*) AS occurrences, sum(CAST(detected AS INT)) AS detected, sum(CAST(residual AS INT)) AS residual FROM q GROUP BY GROUPING SETS ((), (entity_type), (location)))
-SELECT CASE WHEN a = 1 AND b = 1 THEN 'overall' WHEN a = 0 THEN 'type' ELSE 'location' END AS slice, coalesce(CASE WHEN a = 0 THEN entity_type WHEN b = 0 THEN location END, '') AS value, occurrences, CAST(detected AS BIGINT) AS detected, CAST(residual AS BIGINT) AS residual, detected / occurrences AS recall, residual / occurrences AS residual_rate FROM s""")
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.page_offsets(blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name"))
+
+
+_OFFSETS = """pg AS (SELECT DISTINCT document_id, block_id, block_ord, length(coalesce(text, '')) AS n, CASE WHEN image_name IS NOT NULL AND image_name <> '' THEN image_name ELSE coalesce(CAST(page_number AS VARCHAR), CAST(slide_number AS VARCHAR), '') END AS page_key FROM blocks),
+pc AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id, page_key ORDER BY block_ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM pg),
+po AS (SELECT document_id, page_key, block_id, so_far + sum(CASE WHEN so_far > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_key ORDER BY block_ord, block_id ROWS UNBOUNDED PRECEDING) AS off FROM pc),
+spans AS (SELECT document_id, page_key, block_id, CAST(span_start + off AS INTEGER) AS span_start, CAST(span_end + off AS INTEGER) AS span_end, entity_type FROM merged JOIN po USING (document_id, block_id))"""
+
+
+@query("ev8_page_spans", f"WITH {_MERGED}, {_OFFSETS} SELECT * FROM spans")
+def ev8_page_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded detections in characters of their pages."""
+    return evaluate.page_spans(_merged(spark, d), _offsets(spark, d))
+
+
+@query("ev9_overlaps", f"""WITH {_MERGED}, {_OFFSETS}, w AS (SELECT document_id, page_key, span_start + 2 AS span_start, span_end + 3 AS span_end FROM spans)
+SELECT w.document_id, w.page_key, w.span_start, w.span_end, s.span_start AS x_start, s.span_end AS x_end, s.entity_type AS x_type FROM w JOIN spans s ON w.document_id = s.document_id AND w.page_key = s.page_key AND w.span_start < s.span_end AND s.span_start < w.span_end""")
+def ev9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Detections that stretches of their page overlap: the stretches are the detections themselves,
+    moved by two characters and one longer."""
+    spans = ev8_page_spans(spark, d)
+    moved = spans.select("document_id", "page_key", (F.col("span_start") + 2).alias("span_start"), (F.col("span_end") + 3).alias("span_end"))
+    return evaluate.overlaps(moved, spans, "span_start")
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = blocks(spark, d, "document_id", "block_id", "block_ord", "text", "page_number", "slide_number", "image_name", "extraction_method")
+    pages = cut(evaluate.page_texts(b))
+    labels = _labels(spark, d)
+    places = cut(evaluate.labels_found(labels, pages).join(labels.select("row_id", "document_id", "location_type", "uncertain", "file_name").distinct(), "row_id"))
+    methods = b.withColumn("page_key", evaluate.page_key(F.col("image_name"), F.col("page_number"), F.col("slide_number"))).groupBy("document_id", "page_key").agg(F.min("extraction_method").alias("method"))
+    return places, evaluate.judged(places, ev8_page_spans(spark, d), pages), methods
+
+
+@query("ev10_slices")
 def ev10_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Recall and doubtful labels over all, by type and by location in one pass."""
-    g = _values(spark, d).select("document_id", F.col("canonical_type").alias("entity_type"), F.lower(F.trim("value")).alias("v")).distinct().withColumn("detected", F.lit(True))
-    j = _labels(spark, d).withColumn("v", F.lower(F.trim("value_text"))).join(g, ["document_id", "entity_type", "v"], "left")
-    rows = j.select("entity_type", F.lit("all").alias("channel"), F.coalesce("location_type", F.lit("")).alias("location"), F.coalesce("detected", F.lit(False)).alias("detected"), F.coalesce("uncertain", F.lit(False)).alias("residual"))
-    return evaluate.slices(rows).filter("slice <> 'channel'")
+    """Recall and residual rate of certain labels over all, by type, by channel and by location."""
+    places, seen, methods = _judged(spark, d)
+    rows = seen.join(places.select("row_id", "entity_type", "location_type", "uncertain").distinct(), "row_id").filter("not coalesce(uncertain, false)").join(methods, ["document_id", "page_key"], "left")
+    return evaluate.slices(rows.select("entity_type", evaluate.channel(F.col("location_type"), F.col("method")).alias("channel"), F.coalesce("location_type", F.lit("unknown")).alias("location"), "detected", "residual"))
+
+
+@query("ev11_micro_average")
+def ev11_micro_average(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of every labelled file and of all together."""
+    places, seen, _ = _judged(spark, d)
+    files = places.select("document_id", "file_name").distinct()
+    certain = places.filter("not coalesce(uncertain, false)").select("row_id").distinct()
+    fn = seen.join(certain, "row_id").groupBy("document_id").agg(F.sum((~F.col("detected")).cast("long")).alias("fn"), F.sum(F.col("residual").cast("long")).alias("residual"))
+    tp = evaluate.judged_detections(places, ev8_page_spans(spark, d)).groupBy("document_id").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.sum(F.col("fp").cast("long")).alias("fp"))
+    counts = files.join(tp, "document_id", "left").join(fn, "document_id", "left").select("file_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "residual")])
+    return evaluate.micro_average(counts)
 
 
 @query("ev12_coverage", f"""
@@ -510,3 +617,96 @@ def ev15_substring_distance(spark: SparkSession, d: str) -> DataFrame:
     near = j.select("document_id", F.explode(F.arrays_zip("values", evaluate.substring_distances_udf("values", "texts").alias("distance"))).alias("x"))
     near = near.select("document_id", F.col("x.values").alias("value_text"), F.col("x.distance").alias("distance"))
     return labels.join(near, ["document_id", "value_text"]).groupBy("row_id").agg(F.min("distance").alias("distance"))
+
+
+@query("ev16_compared", f"""
+WITH {_VALUES}, {_TRUTH}, kinds AS (SELECT unnest(['PERSON', 'EMAIL', 'PHONE', 'GOVERNMENT_ID', 'ADDRESS']) AS kind), t AS (SELECT DISTINCT document_id, kind, value FROM lab),
+g AS (SELECT document_id, canonical_type AS kind, lower(trim(value)) AS value, max(confidence) AS c FROM vals GROUP BY 1, 2, 3),
+runs AS (SELECT unnest([0.0, 0.8]) AS least), c AS (SELECT least, t.kind, sum(CASE WHEN g.c >= least THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN g.c >= least THEN 0 ELSE 1 END) AS fn FROM t CROSS JOIN runs LEFT JOIN g ON t.document_id = g.document_id AND t.kind = g.kind AND t.value = g.value GROUP BY 1, 2),
+r AS (SELECT least, kind, tp / (tp + fn) AS recall FROM c) SELECT a.kind, b.recall AS recall_before, a.recall AS recall_after, a.recall - b.recall AS recall_delta FROM r a JOIN r b ON a.kind = b.kind AND a.least = 0.8 AND b.least = 0.0""")
+def ev16_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Recall by type with all recorded detections and with those of confidence 0.8 and more."""
+    t = _labels(spark, d).select("document_id", F.col("entity_type").alias("kind"), F.lower(F.trim("value_text")).alias("value")).distinct()
+    g = _values(spark, d).groupBy("document_id", F.col("canonical_type").alias("kind"), F.lower(F.trim("value")).alias("value")).agg(F.max("confidence").alias("c"))
+    j = t.join(g, ["document_id", "kind", "value"], "left")
+
+    def run(least: float) -> DataFrame:
+        hit = F.coalesce(F.col("c") >= least, F.lit(False)).cast("long")
+        return evaluate.rates(j.groupBy("kind").agg(F.sum(hit).alias("tp"), F.lit(0).alias("fp"), F.sum(1 - hit).alias("fn"), F.lit(0).alias("residual")), residual="residual")
+
+    return evaluate.compared(run(0.0), run(0.8), "kind").select("kind", "recall_before", "recall_after", "recall_delta")
+
+
+# ---- repair of scans, export ----
+
+@query("aud6_residual_diagnostics", f"""
+WITH {_MERGED}, bk AS (SELECT DISTINCT document_id, block_id, page_number, extraction_method FROM blocks)
+SELECT document_id, {_CATEGORY} AS entity_type, list_sort(list_distinct(list_filter(regexp_split_to_array(coalesce(detector, ''), '\\|'), lambda x: x IN ({", ".join(f"'{x}'" for x in audit.DETECTORS)})))) AS detectors, CASE WHEN page_number > 0 THEN page_number END AS page,
+CASE WHEN extraction_method IN ({", ".join(f"'{x}'" for x in audit.METHODS)}) THEN extraction_method ELSE 'unknown' END AS extraction_method FROM merged LEFT JOIN bk USING (document_id, block_id)""")
+def aud6_residual_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What may be told of recorded detections, were they residuals."""
+    return audit.residual_diagnostics(_merged(spark, d), blocks(spark, d, "document_id", "block_id", "page_number", "extraction_method"))
+
+
+@query("aud4_safe_counts", f"""
+WITH {_COUNTS}, raw AS (SELECT document_id, upper(coalesce(loc, 'odd')) AS value FROM j)
+SELECT document_id, 'category' AS dimension, {_CATEGORY} AS value, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1, 2, 3
+UNION ALL SELECT document_id, 'location', 'unknown', CAST(count(*) AS BIGINT) FROM raw GROUP BY 1
+UNION ALL SELECT document_id, 'risk', {_RISK}, CAST(count(*) AS BIGINT) FROM j GROUP BY 1, 2, 3""")
+def aud4_safe_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a report after places in an unknown spelling, and counts that can't be, were added."""
+    c = aud_counts(spark, d).withColumn("value", F.when(F.col("dimension") == "location", F.upper("value")).otherwise(F.col("value")))
+    odd = c.select("document_id", "dimension", F.lit("x").alias("value"), F.lit(-1).cast("long").alias("n")).unionByName(c.select("document_id", F.lit("secret").alias("dimension"), "value", "n"))
+    return audit.safe_counts(c.unionByName(odd), audit.SAFE)
+
+
+_SCAN_TEXTS = "sc AS (SELECT document_id, block_id, any_value(text) AS text FROM blocks WHERE text IS NOT NULL AND extraction_method IN ('ocr', 'figure_ocr', 'embedded_image_ocr') GROUP BY document_id, block_id)"
+_SCAN_COLUMNS = ("document_id", "block_id", "block_ord", "text", "extraction_method", "page_number", "slide_number", "image_name")
+
+
+@query("sr1_attached_characters", rf"""
+WITH {_MERGED}, {_SCAN_TEXTS}, c AS (SELECT m.*, text, length(regexp_extract(substring(text, 1, span_start), '[\p{{L}}\p{{N}}]*$')) AS glued, length(regexp_replace(regexp_extract(substring(text, span_end + 1), '^\S*'), '[,.;:)\]}}''"]+$', '')) AS tail FROM merged m JOIN sc USING (document_id, block_id)),
+x AS (SELECT *, span_start - glued - CASE WHEN entity_type = 'EMAIL_ADDRESS' AND regexp_matches(substring(text, 1, span_start - glued), '(?:^|[^\w.])[a-z][ \t]$') THEN 2 ELSE 0 END AS s, span_end + tail AS e FROM c)
+SELECT document_id, block_id, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, entity_type, confidence, detector FROM x WHERE s <> span_start OR e <> span_end""")
+def sr1_attached_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded detections of scans widened over what is glued to them."""
+    return repair.attached_characters(blocks(spark, d, *_SCAN_COLUMNS), _merged(spark, d))
+
+
+@query("ocr3_initials_before", rf"""
+WITH {_MERGED}, {_SCAN_TEXTS}, c AS (SELECT m.*, regexp_extract(substring(text, 1, span_start), '(?:^|[^\w&.,])((?:(?:[A-Z][.,]|&|[A-Z]{{1,2}})[ \t]){{1,3}})$|(^[a-z][.,]?[ \t])$', 1) || regexp_extract(substring(text, 1, span_start), '^[a-z][.,]?[ \t]$') AS i FROM merged m JOIN sc USING (document_id, block_id) WHERE entity_type = 'PERSON')
+SELECT document_id, block_id, CAST(span_start - length(i) AS INTEGER) AS span_start, span_end, 'PERSON' AS entity_type, CAST(0.8 AS DOUBLE) AS confidence, 'name_sweep_ocr' AS detector FROM c WHERE i <> ''""")
+def ocr3_initials_before(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded names of scans with the misread initials before them."""
+    return repair.initials_before(blocks(spark, d, *_SCAN_COLUMNS), _merged(spark, d))
+
+
+def _people_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files", "document_id", "scope_id").distinct()
+    p = table(spark, d, "people", "scope_id", "first_name", "last_name", "middles", "name_initial").filter("last_name is not null").distinct()
+    return p.join(f, "scope_id").drop("scope_id").withColumnRenamed("document_id", "scope_id")
+
+
+@query("ocr1_damaged_emails")
+def ocr1_damaged_emails(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged mail addresses in scans."""
+    b = blocks(spark, d, *_SCAN_COLUMNS)
+    return repair.damaged_emails(b, _merged(spark, d))
+
+
+@query("ocr2_damaged_surnames")
+def ocr2_damaged_surnames(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged surnames in scans."""
+    return repair.damaged_surnames(blocks(spark, d, *_SCAN_COLUMNS), _people_of_documents(spark, d))
+
+
+@query("ocr4_damaged_identifiers")
+def ocr4_damaged_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged codes, addresses of machines and dates of birth in scans."""
+    return repair.damaged_identifiers(blocks(spark, d, *_SCAN_COLUMNS))
+
+
+@query("sr6_repaired")
+def sr6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """All repairs of recorded detections that need no boxes of words."""
+    return repair.repaired(blocks(spark, d, *_SCAN_COLUMNS), cut(_merged(spark, d)), _people_of_documents(spark, d))
