@@ -337,12 +337,6 @@ class Field:
                 out.append((i, (cands[k][2] if inside else "") + fold_token(w)))
         return out
 
-    def says(self, belief: np.ndarray, heard: np.ndarray) -> np.ndarray:
-        """Log messages of tokens to their hubs: what they believe without what the hub told them."""
-        own = belief / np.exp(heard)
-        own /= own.sum(1, keepdims=True)
-        return np.log1p(np.expm1(self.skip) * own)
-
     def train(self, chains: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float = 0.35) -> None:
         """Adaptive gradient steps on the log-likelihood of (features, labels) chains."""
         rng = np.random.default_rng(7)
@@ -636,8 +630,8 @@ class Reader:
 
     def batch(self, texts: list[str], heard: list[list[tuple[int, list[float]]]] | None = None) -> Iterator[tuple[list[tuple[int, int, str]], list[dict]]]:
         """For each text its spans (start, end, type in characters of the text) and its tied tokens:
-        ``form``, ``token`` (its number), ``belief`` of each group, the messages it ``heard`` and
-        what it ``says``. ``heard`` are messages of the hubs, one log a group."""
+        ``form``, ``token`` (its number), ``belief`` of each group and the messages it ``heard``, one
+        log a group."""
         f = self.field
         read = [f.read(t) for t in texts]
         rows = np.concatenate([np.concatenate((r[1], np.zeros((3, 10), np.int64))) for r in read]) if read else np.zeros((0, 10), np.int64)
@@ -687,31 +681,36 @@ class Reader:
         belief = np.clip(grouped(m[[i for i, _ in ties]]), 1e-9, 1)
         before = dict(heard)
         none = [0.0] * N_GROUPS
-        told = np.array([before.get(i, none) for i, _ in ties])
-        says = self.field.says(belief, told)
-        return [{"form": form, "token": i, "belief": b, "heard": h, "says": x} for (i, form), b, h, x in zip(ties, belief.tolist(), told.tolist(), says.tolist())]
+        return [{"form": form, "token": i, "belief": b, "heard": before.get(i, none)} for (i, form), b in zip(ties, belief.tolist())]
 
 
 def _hubs(edges: DataFrame, skip: list[float], damp: float) -> DataFrame:
-    """What the hubs tell the tied tokens (``edges``: keys, form, token, belief, heard, says): keys,
-    token, ``told`` (a log message a group, 0 for outside) and ``moved``, by how much the token's
-    belief would move. A hub leaves out what the token itself said."""
+    """What the hubs tell the tied tokens (``edges``: keys, form, token, belief, heard): keys, token,
+    ``told`` (a log message a group, 0 for outside) and ``moved``, by how much the token's belief
+    would move. A token says what it believes without what the hub told it; a hub leaves out what
+    the token itself said."""
+    strength = F.array(*[F.lit(float(np.expm1(w))) for w in skip])
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    def said(df: DataFrame) -> DataFrame:
+        df = df.withColumn("own", F.zip_with("belief", "heard", lambda b, h: b.cast("double") * F.exp(-h.cast("double")))).withColumn("own_sum", summed("own"))
+        return df.withColumn("says", F.zip_with("own", strength, lambda x, w: F.log1p(w * x / F.col("own_sum")))).drop("own", "own_sum")
+
     total = [F.sum(F.col("says")[g]).alias(f"s{g}") for g in range(N_GROUPS)]
-    hubs = edges.groupBy("document_id", "form").agg(F.count("*").alias("n"), *total).filter("n > 1")
+    hubs = said(edges).groupBy("document_id", "form").agg(F.count("*").alias("n"), *total).filter("n > 1")
     hubs = hubs.select("document_id", "form", F.array(*[f"s{g}" for g in range(N_GROUPS)]).alias("all"))
     rest = F.zip_with("all", "says", lambda x, y: x - y)
-    parts = F.transform(rest, lambda x: F.exp(x - F.array_max(rest)))
-    strength = F.array(*[F.lit(float(np.expm1(w))) for w in skip])
-    total_of = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
+    parts = F.transform("rest", lambda x: F.exp(x - F.col("top")))
+    total_of = summed("parts")
     logs = F.transform(F.zip_with("parts", strength, lambda x, w: F.struct(x.alias("x"), w.alias("w"))), lambda z: F.log1p(z["w"] * z["x"] / F.col("sum")))
-    heard = edges.join(hubs, ["document_id", "form"]).withColumn("parts", parts).withColumn("sum", total_of).withColumn("logs", logs)
+    heard = said(edges.join(hubs, ["document_id", "form"])).withColumn("rest", rest).withColumn("top", F.array_max("rest")).withColumn("parts", parts).withColumn("sum", total_of).withColumn("logs", logs)
     fresh = F.transform("logs", lambda x: x - F.col("logs")[0])
     told = F.zip_with(fresh, "heard", lambda new, old: F.lit(1.0 - damp) * new + F.lit(damp) * old) if damp else fresh
     heard = heard.withColumn("told", told)
     after = F.zip_with("belief", F.zip_with("told", "heard", lambda new, old: F.exp(new - old)), lambda b, k: b * k)
     heard = heard.withColumn("after", after).withColumn("mass", F.aggregate("after", F.lit(0.0), lambda a, x: a + x))
     moved = F.aggregate(F.zip_with("after", "belief", lambda x, b: F.abs(x / F.col("mass") - b)), F.lit(0.0), lambda a, x: a + x) / 2
-    return heard.select("document_id", "block_id", "token", "told", moved.alias("moved"))
+    return heard.select("document_id", "block_id", "token", F.col("told").cast("array<float>").alias("told"), moved.alias("moved"))
 
 
 def _sample(blocks: DataFrame, entities: DataFrame) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
@@ -752,7 +751,7 @@ def label_blocks(blocks: DataFrame, learnt: Field, rounds: int = ROUNDS) -> Data
     ids = ["document_id", "block_id"]
     field = blocks.sparkSession.sparkContext.broadcast(learnt)  # its size is fixed: 2^BITS weights and the words of the sample
     texts = cut(spread(blocks.select(*ids, "text").filter("text is not null and text <> ''")).dropDuplicates(ids))
-    schema = "document_id string, block_id string, spans array<struct<s:int,e:int,t:string>>, ties array<struct<form:string,token:int,belief:array<double>,heard:array<double>,says:array<double>>>"
+    schema = "document_id string, block_id string, spans array<struct<s:int,e:int,t:string>>, ties array<struct<form:string,token:int,belief:array<float>,heard:array<float>>>"
 
     def label(with_heard: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
