@@ -97,7 +97,7 @@ def residuals(texts: DataFrame, issued: DataFrame, text: str = "sanitized", head
     return best.select(*ids, F.col("s").alias("span_start"), F.col("e").alias("span_end"), F.col("b.entity_type").alias("entity_type"), F.lit(1.0).alias("confidence"), F.col("b.detector").alias("detector"))
 
 
-def known_by_models_alone(detector: Column) -> Column:
+def known_by_models_alone(detector: Column | str) -> Column:
     """Whether nothing but a name model saw a span: on sanitized text no place is taken from it alone
     (GATE-4)."""
     names = F.filter(F.split(detector, r"\|"), lambda d: F.trim(d) != "")

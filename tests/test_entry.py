@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-COMPARED = ["p5_found", "mrg1_entities_merged", "red5_sanitized", "aud_counts", "xf4_places_text", "ev4_page_offsets", "ev10_slices", "gate3_placeholders", "reg1_email_names", "rule_us_address"]
+COMPARED = ["p5_found", "mrg1_entities_merged", "red5_sanitized", "aud_counts", "xf4_places_text", "ev4_page_offsets", "ev9_overlaps", "rule_email", "sr1_attached_characters", "gate3_placeholders", "reg1_email_names", "rule_us_address"]
 
 
 def rows(values):

@@ -121,3 +121,28 @@ def test_checks(spark):
     df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("44051401359",), ("123",)], "v string")
     got = df.select((S.luhn_ok(F.col("v")) & S.card_issuer_ok(F.col("v"))).alias("card"), F.coalesce(S.pesel_ok(F.col("v")), F.lit(False)).alias("pesel")).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, False), (False, True), (False, False)]
+
+
+def test_numbers_go_on_after_taken_tokens(spark):
+    schema = "scope_id string, canonical_type string, identity string, doc_ord long, block_ord long, span_start int"
+    first = redact.tokens(spark.createDataFrame([("s", "PERSON", "A", 0, 5, 0), ("s", "PERSON", "B", 0, 9, 0)], schema)).cache()
+    more = redact.tokens(spark.createDataFrame([("s", "PERSON", "A", 0, 5, 0), ("s", "PERSON", "C", 0, 2000, 0), ("s", "PERSON", "D", 1, 0, 0), ("s", "EMAIL", "x", 0, 0, 0)], schema), first)
+    assert {(r.identity, r.token) for r in more.collect()} == {("C", "[PERSON_003]"), ("D", "[PERSON_004]"), ("x", "[EMAIL_001]")}
+
+
+def test_parts_of_a_payload_make_the_whole(spark):
+    t = spark.createDataFrame([("d", f"b{i}", i, f"t{i}") for i in range(7)] + [("d", "e", 9, " ")], "document_id string, block_id string, block_ord long, sanitized string")
+    parts = sorted((r.part, r.payload) for r in redact.payload_parts(t, part=3).collect())
+    assert len(parts) == 3 and "\n".join(p for _, p in parts) == redact.payload(t).first().payload
+
+
+def test_figures_that_cannot_be_read_are_withheld(spark):
+    texts = spark.createDataFrame([("d", "a", 1, "x"), ("d", "b", 2, "y"), ("d", "c", 3, "z")], "document_id string, block_id string, block_ord long, sanitized string")
+    lines = spark.createDataFrame([("d", "a", 1, "ocr", None, [0, 0, 10, 10]), ("d", "b", 1, "figure_ocr", 2, None), ("d", "c", 1, "ocr", None, [90, 90, 99, 99])], "document_id string, block_id string, page_number int, extraction_method string, figure_no int, bbox array<int>")
+    figures = spark.createDataFrame([("d", 1, 1, False, [0, 0, 20, 20]), ("d", 1, 2, False, [30, 30, 40, 40]), ("d", 1, 3, True, [80, 80, 99, 99])], "document_id string, page_number int, figure_no int, readable boolean, bbox array<int>")
+    assert {r.block_id: r.sanitized for r in redact.withhold_figures(texts, lines, figures).collect()} == {"a": "[FIGURE_UNREADABLE_1]", "b": "[FIGURE_UNREADABLE_2]", "c": "z"}
+
+
+def test_places_seen_by_models_alone(spark):
+    got = spark.createDataFrame([("presidio:SpacyRecognizer",), ("presidio:SpacyRecognizer|regex:ip",), ("",)], "d string").select(gate.known_by_models_alone("d")).collect()
+    assert [r[0] for r in got] == [True, False, False]
