@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspan.session import cut, spread
 
@@ -34,7 +35,7 @@ def count_tokens(df: DataFrame, text: str, folder: str = TOKENIZERS, vocabulary:
     """``df`` with ``n_tokens``, the tokens of the whole text; null texts have none. A column of
     that name in the input is replaced. Special tokens' strings count as ordinary text."""
     kept = df.drop("n_tokens")
-    schema = kept.schema.add("n_tokens", "long")
+    schema = StructType([*kept.schema, StructField("n_tokens", LongType())])  # add() would change the frame's own schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -123,7 +124,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source
         plan = plan.filter(F.col("slot") < over)
 
     laid = running(sized, "source", F.pmod("h", F.lit(buckets)), ["h", "d"], "n_tokens", "begin", buckets)
-    round_of = F.create_map(*[x for s in stock for x in (F.lit(s), F.lit(stock[s]))])
+    round_of = F.create_map(*[x for s in stock for x in (F.lit(s), F.lit(stock[s]).cast("long"))])  # use_no times it passes 2^31
     repeats = F.create_map(*[x for s in stock for x in (F.lit(s), F.lit(goal[s][1]))])
     used = laid.withColumn("use_no", F.explode(F.sequence(F.lit(0), repeats[F.col("source")] - 1)))
     used = used.withColumn("at", F.col("begin") + F.col("use_no") * round_of[F.col("source")])

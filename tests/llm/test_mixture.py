@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import mixture
 
@@ -37,3 +38,20 @@ def test_points_are_exact(spark):
     got = [r.source for r in mixture.slots(spark, 300, [("a", 0.5), ("b", 0.3), ("c", 0.2)]).orderBy("slot").collect()]
     point = lambda i: i * mixture._STEP % 2**53 / 2**53
     assert got == ["a" if point(i) < 0.5 else "b" if point(i) < 0.8 else "c" for i in range(300)]
+
+
+def test_scan_of_many_splits(spark):
+    # such a scan is not spread, so the tokens are counted on the frame itself
+    df = spark.range(0, 32, 1, 16).selectExpr("id as doc_id", "'a' as source", "concat('word ', id) as text")
+    assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    got = mixture.count_tokens(df, "text")
+    assert got.columns == ["doc_id", "source", "text", "n_tokens"] and df.columns == ["doc_id", "source", "text"]
+    assert got.filter("n_tokens >= 2").count() == 32
+
+
+def test_rounds_past_two_thousand_million_tokens(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "count_tokens", lambda df, text, folder: df.withColumn("n_tokens", F.lit(1_000_000_000).cast("long")))
+    d = spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 1.0, 4)], "source string, target_share double, max_repeats int")
+    rows = mixture.mix(d, t, block=2**26).collect()
+    assert max(r.use_no for r in rows) == 3 and sum(r.token_to - r.token_from for r in rows) == 4_000_000_000 // 2**26 * 2**26
