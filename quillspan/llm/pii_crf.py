@@ -5,8 +5,9 @@ share skip potentials, which make their labels agree however far apart they are.
 form are tied by a hub, a hidden variable for what the form stands for in the document: a token
 whose type agrees with its hub's gains a learnt strength. Inference is loopy message passing:
 forward-backward inside every block, token to hub, hub to token, each message without what came
-over the same edge, until the beliefs rest. A round costs one pre-aggregated sum and one join, and
-a document of any size stays spread over the cluster.
+over the same edge, until the beliefs rest. No edge leaves a document, so all rounds of a document of
+bounded size run where its blocks were read; larger ones stay spread over the cluster, where a round
+costs one pre-aggregated sum and one join.
 
 The chain is trained by gradient steps on a bounded sample of blocks whose spans were recorded,
 in part, by detectors; the spans are cleaned first, and what the first model finds beside them is
@@ -19,12 +20,14 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.unicode_form import look_alikes
@@ -39,6 +42,8 @@ N_GROUPS = len(TYPES) + 1
 #: Blocks to train on, at most, chosen by the hash of their keys; characters of one of them that
 #: are read in training; passes over them.
 SAMPLE, SAMPLE_TEXT, EPOCHS = 12_000, 20_000, 5
+#: Times as many blocks as are wanted are looked through for them at first.
+SPARE = 6
 BITS = 18
 #: Message passing rests when no block's beliefs move by more than CHANGE (the sum over its tied
 #: tokens); messages are damped from round DAMPED on, so that it comes to rest; ROUNDS is a brake.
@@ -46,6 +51,11 @@ CHANGE, DAMPED, ROUNDS = 0.02, 4, 25
 #: Strengths of the skip potentials that are tried for each group.
 STRENGTHS = tuple(x / 4 for x in range(0, 21))
 TOKENS_A_BATCH = 120_000
+#: Characters of a document that is read whole by one worker, each block counted with BLOCK_COST more;
+#: of the documents read together; and of a task.
+LOCAL_TEXT, BLOCK_COST, CHUNK_TEXT, TASK_TEXT = 1_000_000, 50, 400_000, 10_000_000
+#: Words whose attributes a worker keeps; large documents that are told to all workers.
+KNOWN_WORDS, BROADCAST = 300_000, 100_000
 
 # Names of the detectors' types for the five types asked for.
 TYPE_NAMES = {
@@ -53,6 +63,7 @@ TYPE_NAMES = {
     "ADDRESS": "ADDRESS", "STREET_ADDRESS": "ADDRESS", "PERSON": "PERSON",
 }
 
+_WIDE, _LINE = re.compile(r"[^\x00-\x7f]"), re.compile("\n")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _LABEL = r"[^\W_]+(?:-\n?[^\W_]+)*"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)"
@@ -81,6 +92,10 @@ _ADDRESS = re.compile(
 )
 #: A word with signs or digits between its letters: misread, so its form is that of the whole.
 _MIXED = re.compile(r"[^\W\d_]+(?:[0-9!|$@]+[^\W\d_]+)+")
+#: Without one of these signs before a letter no word is misread; without a digit there are no numbers;
+#: without a postal code there is no street address; without these words no address of mail is spelt out.
+_MIXED_HINT, _DIGIT, _TOWN_HINT = re.compile(r"[0-9!|$@][^\W\d_]"), re.compile(r"\d"), re.compile(r"\d{5}|\s\d[A-Z]{2}")
+_AT_HINT, _SPELT_HINT, _DOT_HINT = re.compile(r"[\[(]\s?at\s?[\])]", re.IGNORECASE), re.compile(r"\sat\s", re.IGNORECASE), re.compile(r"\sdot\s", re.IGNORECASE)
 _PLACEHOLDER = re.compile(r"[\[<{][A-Z_]{3,}(?:_?\d+)?[\]>}]")
 
 
@@ -90,13 +105,14 @@ def plain_form(text: str) -> tuple[str, list[int] | None]:
     if text.isascii():
         return text, None
     table = look_alikes()
-    latin = any("a" <= c <= "z" for c in text)
+    latin = re.search("[a-z]", text) is not None
     out, at = [], []
-    for i, ch in enumerate(text):
-        if ch < "\x80":
-            out.append(ch)
-            at.append(i)
-            continue
+    done = 0
+    for m in _WIDE.finditer(text):
+        i, ch = m.start(), m.group()
+        out += text[done:i]
+        at += range(done, i)
+        done = i + 1
         if unicodedata.category(ch) == "Cf":
             continue
         if unicodedata.combining(ch):
@@ -110,6 +126,8 @@ def plain_form(text: str) -> tuple[str, list[int] | None]:
         for c in n:
             out.append(" " if c.isspace() and c != "\n" else "-" if c in "‐‑" else c)
             at.append(i)
+    out += text[done:]
+    at += range(done, len(text))
     return "".join(out), at
 
 
@@ -123,8 +141,10 @@ def _valid_11(d: str) -> bool:
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """Stretches that look like an address of mail, a number or a code: (start, end, kind, shape).
     The kind is only a feature; labels come from the field."""
-    out = [(m.start(), m.end(), "E", "@" if "@" in m.group() else "at") for m in _EMAIL.finditer(text)] if "@" in text or "at" in text.lower() else []
-    if any(c.isdigit() for c in text):
+    out = [(m.start(), m.end(), "E", "@" if "@" in m.group() else "at") for m in _EMAIL.finditer(text)] if "@" in text or ("[" in text or "(" in text) and _AT_HINT.search(text) or "dot" in text.lower() and _DOT_HINT.search(text) and _SPELT_HINT.search(text) else []
+    if not _DIGIT.search(text):
+        return out
+    if _TOWN_HINT.search(text):
         out += [(m.start(), m.end(), "A", m.lastgroup) for m in _ADDRESS.finditer(text)]
     taken = [(s, e) for s, e, _, _ in out]
 
@@ -136,6 +156,8 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), "C", re.sub(r"\s", " ", re.sub(r"\d", "9", re.sub(r"[A-Z]", "A", m.group())))))
             taken.append((m.start(), m.end()))
     for m in _NUMBER.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         digits = re.sub(r"\D", "", m.group())
         if not 7 <= len(digits) <= 16 or not free(m.start(), m.end()):
             continue
@@ -173,7 +195,7 @@ class Field:
             for j, b in enumerate(LABELS):
                 if b[0] == "I" and a[2:] != b[2:]:
                     self.t[i, j] = -30.0
-        self.known: dict[str, tuple] = {}
+        self.reset()
         self.trained = False
         self.skip = np.zeros(N_GROUPS)
         self.doubt = 0.0
@@ -182,48 +204,94 @@ class Field:
         self.w[:] = 0
         self.t[self.t > -20] = 0
 
-    def attributes(self, w: str) -> tuple[int, ...]:
-        a = self.known.get(w)
-        if a is None:
+    def reset(self) -> None:
+        """Forgets the words seen: their numbers, attributes and forms by number, and forms' numbers."""
+        self.known: dict[str, int] = {}
+        self.table, self.tie = np.zeros((1024, 6), np.int64), np.full(1024, -1)
+        self.forms: dict[str, int] = {}
+        self.folded: dict[str, str | None] = {}
+
+    def trim(self) -> None:
+        if max(len(self.known), len(self.forms), len(self.folded)) > KNOWN_WORDS:
+            self.reset()
+
+    def number(self, w: str) -> int:
+        """The row of ``table`` with the word's attributes."""
+        n = self.known.get(w)
+        if n is None:
+            n = len(self.known)
             low = w.lower()
             shape = _shape(w)
             base = low if not low.isdigit() else shape
             lex = "k" if low in self.lower else "u"
             fold = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
             a = (_hash("w" + base) if base in self.words or not low.isalpha() else 7, _hash(shape), _hash(fold[-3:] + lex), _hash(fold[-4:] + shape), _hash(fold[:3] + shape), _hash(lex + shape))
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[w] = a
-        return a
+            if n == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                self.tie = np.concatenate((self.tie, np.full_like(self.tie, -1)))
+            self.table[n] = a
+            if (form := self.form(w)) is not None:
+                self.tie[n] = self.forms.setdefault(form, len(self.forms))
+            self.known[w] = n
+        return n
+
+    def form(self, w: str) -> str | None:
+        """The form under which a word is tied; None for short and ordinary ones."""
+        if w not in self.folded:
+            tied = len(w) >= (4 if w.isdigit() else 3) and w[0].isalnum() and w.lower() not in self.lower
+            self.folded[w] = fold_token(w) if tied else None
+        return self.folded[w]
 
     def read(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray, str, list[int] | None, list[tuple[int, int, str, str]]]:
         """Tokens (start, end in the plain form), attributes a token, the plain form, its places,
         and the candidates."""
-        plain, at = plain_form(text)
-        spans = [m.span() for m in _TOKEN.finditer(plain)]
-        rows = np.zeros((len(spans), 10), np.int64)
-        cands = candidates(plain)
-        if spans:
-            rows[:, :6] = [self.attributes(plain[s:e]) for s, e in spans]
-        gaps, before = [], 0
-        for s, e in spans:
-            gaps.append(3 if s == before else 1 if "\n" in plain[before:s] else 2)
-            before = e
-        if gaps:
-            gaps[0] = 1
-            rows[:, 8] = gaps
-        k = 0
-        for i, (s, _) in enumerate(spans) if cands else ():
-            while k < len(cands) and cands[k][1] <= s:
-                k += 1
-            if k == len(cands):
-                break
-            if cands[k][0] <= s:
-                c = cands[k]
-                place = "B" if s == c[0] else "I"
-                rows[i, 6] = _hash(c[2] + place)
-                rows[i, 7] = _hash(c[2] + c[3] + place)
-        return spans, rows, plain, at, cands
+        self.trim()
+        [(spans, plain, at, cands, _)], rows = self.read_all([text])
+        return spans, rows[: len(spans)], plain, at, cands
+
+    def read_all(self, texts: list[str]) -> tuple[list[tuple], np.ndarray]:
+        """For each text its tokens, plain form, places, candidates and the tokens' word numbers; and
+        the attributes of all tokens, with three empty rows after each text."""
+        plains = [plain_form(t) for t in texts]
+        # no token holds white space, so those of all texts are found in one
+        joined = "\n".join([p for p, _ in plains])
+        words = _TOKEN.findall(joined)
+        begins = [m.start() for m in _TOKEN.finditer(joined)]
+        known = self.known
+        try:
+            ids = [known[w] for w in words]
+        except KeyError:
+            ids = [self.number(w) for w in words]
+        ids, begin = np.array(ids, np.int64), np.array(begins, np.int64)
+        end = begin + np.fromiter(map(len, words), np.int64, len(words))
+        offset = np.cumsum([0, *(len(p) + 1 for p, _ in plains)])
+        first = np.searchsorted(begin, offset)
+        text_no = np.repeat(np.arange(len(texts)), np.diff(first))
+        row = np.arange(len(words)) + 3 * text_no
+        rows = np.zeros((len(words) + 3 * len(texts), 10), np.int64)
+        rows[row, :6] = self.table[ids]
+        gaps = np.full(len(words) + 1, 2)
+        gaps[1:-1][begin[1:] == end[:-1]] = 3
+        gaps[0] = 1
+        gaps[np.searchsorted(begin, [m.start() for m in _LINE.finditer(joined)], side="right")] = 1
+        rows[row, 8] = gaps[:-1]
+        local = offset[text_no]
+        toks, edges, marked, out = list(zip((begin - local).tolist(), (end - local).tolist())), first.tolist(), [], []
+        for n, (plain, at) in enumerate(plains):
+            cands, lo, hi, shift, done = candidates(plain), edges[n], edges[n + 1], int(offset[n]), 0
+            out.append((toks[lo:hi], plain, at, cands, ids[lo:hi]))
+            for a, z, kind, shape in cands:  # a token belongs to the first candidate that reaches past its start
+                i, j = bisect_left(begins, shift + max(a, done), lo, hi), bisect_left(begins, shift + z, lo, hi)
+                done = max(done, z)
+                if i < j:
+                    inner = _hash(kind + "I"), _hash(kind + shape + "I")
+                    marked += [(k + 3 * n, *inner) for k in range(i, j)]
+                    if begins[i] == shift + a:
+                        marked[i - j] = (i + 3 * n, _hash(kind + "B"), _hash(kind + shape + "B"))
+        if marked:
+            m = np.array(marked)
+            rows[m[:, 0], 6], rows[m[:, 0], 7] = m[:, 1], m[:, 2]
+        return out, rows
 
     @staticmethod
     def features(rows: np.ndarray) -> np.ndarray:
@@ -231,26 +299,28 @@ class Field:
         n = len(rows)
         pad = np.zeros((n + 6, rows.shape[1]), np.int64)
         pad[3 : n + 3] = rows
-        at = lambda off, col: pad[3 + off : 3 + off + n, col]
+        cols = np.ascontiguousarray(pad.T).astype(np.uint64)
         W, S, X3, X4, P, L, C, H, G = range(9)
         groups = [
             [(0, W)], [(-1, W)], [(1, W)], [(-2, W)], [(2, W)], [(-1, W), (0, W)], [(0, W), (1, W)], [(0, S)], [(-1, S), (0, S), (1, S)],
             [(0, X3), (0, S)], [(0, X4)], [(0, P)], [(0, L)], [(-1, L), (0, L)], [(0, L), (1, L)], [(-1, L), (0, L), (1, L)], [(0, C)], [(0, H)], [(-1, W), (0, H)], [(-2, W), (-1, W), (0, C)],
             [(-1, W), (0, L)], [(0, L), (1, W)], [(-2, W), (-1, W), (0, L)], [(0, L), (1, W), (2, W)], [(0, G), (0, L), (-1, S)], [(-2, L), (-1, L), (0, L), (1, L), (2, L)], [(-1, C), (0, S), (0, G)], [(-2, W), (-1, L), (0, L)], [(-3, W), (0, L)], [(3, W), (0, L)], [(-1, G), (0, G), (1, G), (0, S)],
         ]
-        out = np.empty((n, len(groups)), np.int64)
+        out = np.empty((len(groups), n), np.int64)
         for g, parts in enumerate(groups):
             h = np.full(n, (g + 1) * 0x9E3779B1, np.uint64)
             for off, col in parts:
-                h = (h ^ at(off, col).astype(np.uint64)) * np.uint64(0x100000001B3)
+                h ^= cols[col, 3 + off : 3 + off + n]
+                h *= np.uint64(0x100000001B3)
                 h ^= h >> np.uint64(29)
-            out[:, g] = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        return out
+            out[g] = h & np.uint64((1 << BITS) - 1)
+        return out.T
 
     def scores(self, feats: np.ndarray) -> np.ndarray:
         out = np.zeros((len(feats), len(LABELS)), np.float32)
+        got = np.empty_like(out)
         for g in range(feats.shape[1]):
-            out += self.w[feats[:, g]]
+            out += np.take(self.w, feats[:, g], axis=0, out=got, mode="clip")
         return out
 
     def pass_messages(self, emit: list[np.ndarray], need_pairs: bool = False):
@@ -284,24 +354,30 @@ class Field:
             if need_pairs:
                 pairs += trans * (alpha[t, :n].T @ right)
         both = alpha * beta
+        total = both.sum(2, keepdims=True)
+        both /= np.where(total > 0, total, 1)
         out: list = [None] * b
         for r, i in enumerate(order):
-            m = both[: lens[r], r]
-            out[i] = m / m.sum(1, keepdims=True)
+            out[i] = both[: lens[r], r]
         return out, pairs
 
     def decode(self, marginals: list[np.ndarray]) -> list[np.ndarray]:
         """For each chain the labels with the most expected right ones among the allowed sequences,
         all chains at once. ``doubt`` is taken off what staying outside is worth: the records miss
         spans. Where outside is best for every token of a chain, it is best for the chain."""
-        out = [np.zeros(len(m), np.int64) for m in marginals]
-        worth = [np.log(m + 1e-9) for m in marginals]
-        for r in worth:
-            r[:, 0] -= self.doubt
-        open_ = sorted((i for i, r in enumerate(worth) if len(r) and (r[:, 0] < r.max(1)).any()), key=lambda i: -len(worth[i]))
+        sizes = [len(m) for m in marginals]
+        out = [np.zeros(n, np.int64) for n in sizes]
+        if not sum(sizes):
+            return out
+        every = np.log(np.concatenate(marginals) + 1e-9)
+        every[:, 0] -= self.doubt
+        ends = np.cumsum(sizes)
+        worth = [every[e - n : e] for e, n in zip(ends.tolist(), sizes)]
+        inside = np.searchsorted(ends, np.flatnonzero(every[:, 0] < every.max(1)), side="right")
+        open_ = sorted(np.unique(inside).tolist(), key=lambda i: -sizes[i])
         if not open_:
             return out
-        lens = np.array([len(worth[i]) for i in open_])
+        lens = np.array([sizes[i] for i in open_])
         most, k = int(lens[0]), len(LABELS)
         r = np.zeros((most, len(open_), k))
         for n, i in enumerate(open_):
@@ -315,26 +391,38 @@ class Field:
             back[t, :n] = x.argmax(1)
             best[:n] = x.max(1) + r[t, :n]
         y = best.argmax(1)
+        paths = np.zeros((most, len(open_)), np.int64)
         for t in range(most - 1, -1, -1):
             n = int((lens > t).sum())
-            for c in range(n):
-                out[open_[c]][t] = y[c]
+            paths[t, :n] = y[:n]
             y[:n] = back[t, np.arange(n), y[:n]]
+        for c, i in enumerate(open_):
+            out[i] = paths[: lens[c], c]
         return out
 
     def ties(self, plain: str, toks: list[tuple[int, int]], cands: list[tuple[int, int, str, str]]) -> list[tuple[int, str]]:
         """The tokens with skip edges, (number, form): of three letters or four digits and more, and
         no word that the sample writes small as a rule. Tokens of one form in a document are tied.
         Inside addresses, of mail or street, a form is tied to its like there."""
-        mixed = {m.start(): m.group() for m in _MIXED.finditer(plain)}
-        out, k = [], 0
-        for i, (s, e) in enumerate(toks):
-            while k < len(cands) and cands[k][1] <= s:
-                k += 1
-            inside = k < len(cands) and cands[k][0] <= s and cands[k][2] in "EA"
-            w = plain[s:e] if inside else mixed.get(s, plain[s:e])
-            if len(w) >= (4 if w.isdigit() else 3) and w[0].isalnum() and w.lower() not in self.lower:
-                out.append((i, (cands[k][2] if inside else "") + fold_token(w)))
+        odd = self.odd_forms(plain, toks, cands)
+        forms = ((i, odd[i] if i in odd else self.form(plain[s:e])) for i, (s, e) in enumerate(toks))
+        return [(i, form) for i, form in forms if form is not None]
+
+    def odd_forms(self, plain: str, toks: list[tuple[int, int]], cands: list[tuple[int, int, str, str]]) -> dict[int, str | None]:
+        """The forms of tokens whose form is not that of their word: misread ones, and those inside
+        addresses."""
+        out, done = {}, 0
+        mixed = {m.start(): m.group() for m in _MIXED.finditer(plain)} if _MIXED_HINT.search(plain) else {}
+        cands = [c for c in cands if c[2] in "EA"]
+        starts = [s for s, _ in toks] if mixed or cands else []
+        for s, w in mixed.items():
+            if (i := bisect_left(starts, s)) < len(starts) and starts[i] == s:
+                out[i] = self.form(w)
+        for a, z, kind, _ in cands:
+            for i in range(bisect_left(starts, max(a, done)), bisect_left(starts, z)):
+                form = self.form(plain[toks[i][0] : toks[i][1]])
+                out[i] = None if form is None else kind + form
+            done = max(done, z)
         return out
 
     def train(self, chains: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float = 0.35) -> None:
@@ -454,7 +542,7 @@ def learn(sample: list[tuple[str, str, list[tuple[int, int, str]]]], epochs: int
     field.train(again, epochs)
     field.trained = any((y > 0).any() for _, y in again)
     field.w = field.w.astype(np.float16).astype(np.float32)
-    field.known = {}
+    field.reset()
     return field
 
 
@@ -628,39 +716,98 @@ class Reader:
     def __init__(self, field: Field):
         self.field = field
 
-    def batch(self, texts: list[str], heard: list[list[tuple[int, list[float]]]] | None = None) -> Iterator[tuple[list[tuple[int, int, str]], list[dict]]]:
-        """For each text its spans (start, end, type in characters of the text) and its tied tokens:
-        ``form``, ``token`` (its number), ``belief`` of each group and the messages it ``heard``, one
-        log a group."""
-        f = self.field
-        read = [f.read(t) for t in texts]
-        rows = np.concatenate([np.concatenate((r[1], np.zeros((3, 10), np.int64))) for r in read]) if read else np.zeros((0, 10), np.int64)
-        scores = f.scores(Field.features(rows))
-        emit, at = [], 0
-        for i, r in enumerate(read):
-            e = scores[at : at + len(r[0])]
-            at += len(r[0]) + 3
-            if heard is not None and heard[i]:
-                e = e.copy()
-                for token, logs in heard[i]:
-                    e[token] += np.asarray(logs, np.float32)[GROUPS]
-            emit.append(e)
+    def emissions(self, texts: list[str]) -> tuple[list[tuple], list[np.ndarray]]:
+        """For each text what ``Field.read_all`` gives of it, and the scores of its tokens."""
+        self.field.trim()
+        read, emit, lo = [], [], 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and hi - lo < 4000 and size + len(texts[hi]) <= TOKENS_A_BATCH:
+                size += len(texts[hi])
+                hi += 1
+            got, rows = self.field.read_all(texts[lo:hi])
+            scores, at = self.field.scores(Field.features(rows)), 0
+            for r in got:
+                emit.append(scores[at : at + len(r[0])])
+                at += len(r[0]) + 3
+            read += got
+            lo = hi
+        return read, emit
+
+    def labelled(self, emit: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Marginals and labels of chains; those of similar length pass messages together."""
         by = sorted(range(len(emit)), key=lambda i: len(emit[i]))
         marg: list = [np.zeros((0, len(LABELS)))] * len(emit)
         path: list = [np.zeros(0, np.int64)] * len(emit)
         i = 0
-        while i < len(by):  # chains of similar length pass messages together
+        while i < len(by):
             j = i
             while j < len(by) and (j - i + 1) * len(emit[by[j]]) <= TOKENS_A_BATCH // 4 and j - i < 2000:
                 j += 1
             j = max(j, i + 1)
-            got, _ = f.pass_messages([emit[k] for k in by[i:j]])
-            for k, m, p in zip(by[i:j], got, f.decode(got)):
+            got, _ = self.field.pass_messages([emit[k] for k in by[i:j]])
+            for k, m, p in zip(by[i:j], got, self.field.decode(got)):
                 marg[k], path[k] = m, p
             i = j
-        for n, (toks, _, plain, places, cands) in enumerate(read):
+        return marg, path
+
+    def batch(self, texts: list[str], heard: list[list[tuple[int, list[float]]]] | None = None) -> Iterator[tuple[list[tuple[int, int, str]], list[dict]]]:
+        """For each text its spans (start, end, type in characters of the text) and its tied tokens:
+        ``form``, ``token`` (its number), ``belief`` of each group and the messages it ``heard``, one
+        log a group."""
+        read, emit = self.emissions(texts)
+        for i, told in enumerate(heard or ()):
+            if told:
+                emit[i] = emit[i].copy()
+                for token, logs in told:
+                    emit[i][token] += np.asarray(logs, np.float32)[GROUPS]
+        marg, path = self.labelled(emit)
+        for n, (toks, plain, places, cands, _) in enumerate(read):
             yield self.spans(toks, plain, places, cands, path[n]), self.tied(toks, plain, cands, marg[n], heard[n] if heard is not None else [])
 
+    def whole(self, documents: list[str], texts: list[str], rounds: int) -> list[list[tuple[int, int, str]]]:
+        """The spans of each text, all rounds of messages included; the texts are all those of their
+        documents. The same as ``batch`` and ``_hubs`` in turn."""
+        read, emit = self.emissions(texts)
+        marg, path = self.labelled(emit)
+        f, sizes = self.field, [len(r[0]) for r in read]
+        begin = np.cumsum([0, *sizes])
+        text_no = np.repeat(np.arange(len(read)), sizes)
+        tie = f.tie[np.concatenate([r[4] for r in read])] if read else np.zeros(0, np.int64)
+        for n, (toks, plain, _, cands, _) in enumerate(read):
+            for i, form in f.odd_forms(plain, toks, cands).items():
+                tie[begin[n] + i] = -1 if form is None else f.forms.setdefault(form, len(f.forms))
+        at = np.flatnonzero(tie >= 0)
+        doc_no = pd.factorize(np.array(documents, object))[0].astype(np.int64)
+        _, hubs, n_tied = np.unique(doc_no[text_no[at]] * len(f.forms) + tie[at], return_inverse=True, return_counts=True)
+        keep = n_tied[hubs] > 1
+        at, hubs = at[keep], hubs[keep]
+        if len(at):
+            text_at = text_no[at]
+            token_at = at - begin[text_at]
+            starts = np.searchsorted(text_at, np.arange(len(texts) + 1))
+            here = lambda n: slice(starts[n], starts[n + 1])
+            believed = lambda m: np.clip(grouped(m), 1e-9, 1).astype(np.float32)
+            belief, heard = believed(np.concatenate(marg)[at]), np.zeros((len(at), N_GROUPS), np.float32)
+        for n in range(rounds if len(at) else 0):
+            told, moved = hub_messages(hubs, belief, heard, self.field.skip, 0.5 if n >= DAMPED else 0.0)
+            again = np.flatnonzero(np.bincount(text_at, weights=moved) > CHANGE)
+            if not len(again):
+                break
+            fresh = []
+            for k in again:
+                e = emit[k].copy()
+                e[token_at[here(k)]] += told[here(k)][:, GROUPS]
+                fresh.append(e)
+            for k, m, p in zip(again, *self.labelled(fresh)):
+                marg[k], path[k] = m, p
+            rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in again])
+            belief[rows], heard[rows] = believed(np.concatenate([marg[k][token_at[here(k)]] for k in again])), told[rows]
+        found: list = [[]] * len(read)
+        for k in np.unique(text_no[np.concatenate(path) > 0]).tolist() if read else ():
+            found[k] = self.spans(*read[k][:4], path[k])
+        return found
+
     def spans(self, toks, plain, places, cands, path) -> list[tuple[int, int, str]]:
         if not self.field.trained or not path.any():
             return []
@@ -684,33 +831,42 @@ class Reader:
         return [{"form": form, "token": i, "belief": b, "heard": before.get(i, none)} for (i, form), b in zip(ties, belief.tolist())]
 
 
+def hub_messages(hubs: np.ndarray, belief: np.ndarray, heard: np.ndarray, skip: np.ndarray, damp: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_hubs`` for tied tokens at hand: ``hubs`` has the number of the hub of each."""
+    w, b, h = np.expm1(skip), belief.astype(np.float64), heard.astype(np.float64)
+    own = b * np.exp(-h)
+    says = np.log1p(w * own / own.sum(1, keepdims=True))
+    rest = np.stack([np.bincount(hubs, weights=says[:, g]) for g in range(N_GROUPS)], 1)[hubs] - says
+    parts = np.exp(rest - rest.max(1, keepdims=True))
+    logs = np.log1p(w * parts / parts.sum(1, keepdims=True))
+    told = (1.0 - damp) * (logs - logs[:, :1]) + damp * h
+    after = b * np.exp(told - h)
+    return told.astype(np.float32), np.abs(after / after.sum(1, keepdims=True) - b).sum(1) / 2
+
+
 def _hubs(edges: DataFrame, skip: list[float], damp: float) -> DataFrame:
     """What the hubs tell the tied tokens (``edges``: keys, form, token, belief, heard): keys, token,
     ``told`` (a log message a group, 0 for outside) and ``moved``, by how much the token's belief
     would move. A token says what it believes without what the hub told it; a hub leaves out what
     the token itself said."""
-    strength = F.array(*[F.lit(float(np.expm1(w))) for w in skip])
-    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    each, w = range(N_GROUPS), [float(np.expm1(x)) for x in skip]
+    total = lambda name: reduce(lambda a, x: a + x, [F.col(f"{name}{g}") for g in each])
+    log_of = lambda g, part, whole: F.log1p(F.lit(w[g]) * F.col(f"{part}{g}") / F.col(whole)) if w[g] else F.lit(0.0)
 
     def said(df: DataFrame) -> DataFrame:
-        df = df.withColumn("own", F.zip_with("belief", "heard", lambda b, h: b.cast("double") * F.exp(-h.cast("double")))).withColumn("own_sum", summed("own"))
-        return df.withColumn("says", F.zip_with("own", strength, lambda x, w: F.log1p(w * x / F.col("own_sum")))).drop("own", "own_sum")
-
-    total = [F.sum(F.col("says")[g]).alias(f"s{g}") for g in range(N_GROUPS)]
-    hubs = said(edges).groupBy("document_id", "form").agg(F.count("*").alias("n"), *total).filter("n > 1")
-    hubs = hubs.select("document_id", "form", F.array(*[f"s{g}" for g in range(N_GROUPS)]).alias("all"))
-    rest = F.zip_with("all", "says", lambda x, y: x - y)
-    parts = F.transform("rest", lambda x: F.exp(x - F.col("top")))
-    total_of = summed("parts")
-    logs = F.transform(F.zip_with("parts", strength, lambda x, w: F.struct(x.alias("x"), w.alias("w"))), lambda z: F.log1p(z["w"] * z["x"] / F.col("sum")))
-    heard = said(edges.join(hubs, ["document_id", "form"])).withColumn("rest", rest).withColumn("top", F.array_max("rest")).withColumn("parts", parts).withColumn("sum", total_of).withColumn("logs", logs)
-    fresh = F.transform("logs", lambda x: x - F.col("logs")[0])
-    told = F.zip_with(fresh, "heard", lambda new, old: F.lit(1.0 - damp) * new + F.lit(damp) * old) if damp else fresh
-    heard = heard.withColumn("told", told)
-    after = F.zip_with("belief", F.zip_with("told", "heard", lambda new, old: F.exp(new - old)), lambda b, k: b * k)
-    heard = heard.withColumn("after", after).withColumn("mass", F.aggregate("after", F.lit(0.0), lambda a, x: a + x))
-    moved = F.aggregate(F.zip_with("after", "belief", lambda x, b: F.abs(x / F.col("mass") - b)), F.lit(0.0), lambda a, x: a + x) / 2
-    return heard.select("document_id", "block_id", "token", F.col("told").cast("array<float>").alias("told"), moved.alias("moved"))
+        df = df.withColumns({f"b{g}": F.col("belief")[g].cast("double") for g in each} | {f"h{g}": F.col("heard")[g].cast("double") for g in each})
+        df = df.withColumns({f"own{g}": F.col(f"b{g}") * F.exp(-F.col(f"h{g}")) for g in each}).withColumn("own_sum", total("own"))
+        return df.withColumns({f"says{g}": log_of(g, "own", "own_sum") for g in each})
+
+    hubs = said(edges).groupBy("document_id", "form").agg(F.count("*").alias("n"), *[F.sum(f"says{g}").alias(f"all{g}") for g in each]).filter("n > 1").drop("n")
+    heard = said(edges.join(hubs, ["document_id", "form"])).withColumns({f"rest{g}": F.col(f"all{g}") - F.col(f"says{g}") for g in each})
+    heard = heard.withColumn("top", F.greatest(*[f"rest{g}" for g in each])).withColumns({f"part{g}": F.exp(F.col(f"rest{g}") - F.col("top")) for g in each}).withColumn("part_sum", total("part"))
+    heard = heard.withColumns({f"log{g}": log_of(g, "part", "part_sum") for g in each})
+    fresh = [F.col(f"log{g}") - F.col("log0") for g in each]
+    heard = heard.withColumns({f"told{g}": F.lit(1.0 - damp) * fresh[g] + F.lit(damp) * F.col(f"h{g}") if damp else fresh[g] for g in each})
+    heard = heard.withColumns({f"after{g}": F.col(f"b{g}") * F.exp(F.col(f"told{g}") - F.col(f"h{g}")) for g in each}).withColumn("mass", total("after"))
+    moved = reduce(lambda a, x: a + x, [F.abs(F.col(f"after{g}") / F.col("mass") - F.col(f"b{g}")) for g in each]) / 2
+    return heard.select("document_id", "block_id", "token", F.array(*[F.col(f"told{g}").cast("float") for g in each]).alias("told"), moved.alias("moved"))
 
 
 def _sample(blocks: DataFrame, entities: DataFrame) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
@@ -718,19 +874,32 @@ def _sample(blocks: DataFrame, entities: DataFrame) -> list[tuple[str, str, list
     blocks with spans, a quarter any others, and a quarter the blocks of whole documents, in which
     tied tokens meet. Of a longer block the first ``SAMPLE_TEXT`` characters are learnt from."""
     ids = ["document_id", "block_id"]
+    h, n = F.xxhash64(*ids), max(1, blocks.count())
     kind = F.upper(F.regexp_replace(F.trim("entity_type"), r"[\s-]+", "_"))
-    named = entities.withColumn("kind", kind).filter(F.col("kind").isin(list(TYPE_NAMES)))
-    good = valid_spans(named, blocks).join(named.select(*ids, "span_start", "span_end", "kind", "confidence"), [*ids, "span_start", "span_end"])
-    found = good.groupBy(*ids, "span_start", "span_end").agg(F.max_by("kind", "confidence").alias("kind")).groupBy(*ids).agg(F.collect_list(F.struct("span_start", "span_end", "kind")).alias("spans"))
     seen = entities.select("document_id").distinct()
-    rows = blocks.filter("text is not null and text <> ''").join(seen, "document_id", "left_semi").dropDuplicates(ids).join(found, ids, "left")
-    rows = rows.select("document_id", "block_id", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.filter(F.coalesce("spans", F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")), lambda x: x["span_end"] <= SAMPLE_TEXT).alias("spans"))
-    h = F.xxhash64(*ids)
-    parts = [
-        rows.filter(F.size("spans") > 0).orderBy(h, *ids).limit(SAMPLE // 2), rows.filter(F.size("spans") == 0).orderBy(h, *ids).limit(SAMPLE // 4),
-        rows.orderBy(F.xxhash64("document_id"), h, *ids).limit(SAMPLE // 4),
-    ]
-    got = {(r["document_id"], r["block_id"]): r for part in parts for r in part.collect()}
+
+    def rows_of(blocks: DataFrame, entities: DataFrame) -> DataFrame:
+        named = entities.withColumn("kind", kind).filter(F.col("kind").isin(list(TYPE_NAMES)))
+        good = valid_spans(named, blocks).join(named.select(*ids, "span_start", "span_end", "kind", "confidence"), [*ids, "span_start", "span_end"])
+        found = good.groupBy(*ids, "span_start", "span_end").agg(F.max_by("kind", "confidence").alias("kind")).groupBy(*ids).agg(F.collect_list(F.struct("span_start", "span_end", "kind")).alias("spans"))
+        rows = blocks.filter("text is not null and text <> ''").join(seen, "document_id", "left_semi").dropDuplicates(ids).join(found, ids, "left")
+        return rows.select("document_id", "block_id", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.filter(F.coalesce("spans", F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")), lambda x: x["span_end"] <= SAMPLE_TEXT).alias("spans"))
+
+    def least(by: Column, parts: list[tuple[Column, int]]) -> list:
+        """Of the rows of each part the given number with the least hashes. Only rows with hashes
+        below a bound are put together; it is raised until every part has enough."""
+        share = SPARE * sum(k for _, k in parts) / n
+        while True:
+            below = by < F.lit(int(share * 2**64) - 2**63) if share < 1 else F.lit(True)
+            rows = rows_of(blocks.filter(below), entities.filter(below))
+            rows = cut(rows) if share < 1 else rows
+            got = [rows.filter(c).orderBy(by, h, *ids).limit(k).collect() for c, k in parts]
+            if share >= 1 or all(len(g) == k for g, (_, k) in zip(got, parts)):
+                return [r for g in got for r in g]
+            share *= 8
+
+    picked = least(h, [(F.size("spans") > 0, SAMPLE // 2), (F.size("spans") == 0, SAMPLE // 4)]) + least(F.xxhash64("document_id"), [(F.lit(True), SAMPLE // 4)])
+    got = {(r["document_id"], r["block_id"]): r for r in picked}
     return [(k[0], r["text"], [(x["span_start"], x["span_end"], TYPE_NAMES[x["kind"]]) for x in sorted(r["spans"])]) for k, r in sorted(got.items(), key=lambda kr: zlib.crc32("/".join(map(str, kr[0])).encode()))]
 
 
@@ -750,7 +919,51 @@ def label_blocks(blocks: DataFrame, learnt: Field, rounds: int = ROUNDS) -> Data
     """``find_pii`` with a field that has been learnt."""
     ids = ["document_id", "block_id"]
     field = blocks.sparkSession.sparkContext.broadcast(learnt)  # its size is fixed: 2^BITS weights and the words of the sample
-    texts = cut(spread(blocks.select(*ids, "text").filter("text is not null and text <> ''")).dropDuplicates(ids))
+    rows = spread(blocks.select(*ids, "text").filter("text is not null and text <> ''"))
+    sizes = cut(rows.groupBy("document_id").agg(F.sum(F.length("text") + BLOCK_COST).alias("size")))
+    n, total = sizes.agg(F.count(F.when(F.col("size") > LOCAL_TEXT, 1)), F.sum("size")).first()
+    large = sizes.filter(F.col("size") > LOCAL_TEXT).select("document_id")
+    large = F.broadcast(large) if n <= BROADCAST else large
+    # blocks without document are tied to nothing and need not come together
+    alone = rows.filter("document_id is null")
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism * 2, -(-(total or 0) // TASK_TEXT))
+    small = rows.filter("document_id is not null")
+    small = (small.join(large, "document_id", "left_anti") if n else small).repartition(tasks, "document_id").sortWithinPartitions("document_id")
+
+    def label_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, held = Reader(field.value), None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(held):
+                continue
+            last = int((held["document_id"] == held["document_id"].iat[-1]).to_numpy().argmax())
+            yield from _label_documents(reader, held.iloc[:last], rounds)
+            held = held.iloc[last:]
+        if held is not None:
+            yield from _label_documents(reader, held, rounds)
+
+    found = small.mapInPandas(label_whole, "document_id string, block_id string, entity_type string, span_start int, span_end int")
+    wide = rows.join(large, "document_id", "left_semi").unionByName(alone) if n else alone
+    return found.unionByName(_label_spread(wide, field, rounds)) if wide.head(1) else found
+
+
+def _label_documents(reader: Reader, b: pd.DataFrame, rounds: int) -> Iterator[pd.DataFrame]:
+    """The spans of whole documents, some documents at a time."""
+    b = b.drop_duplicates(["document_id", "block_id"])
+    docs, blocks, texts = (b[c].tolist() for c in ("document_id", "block_id", "text"))
+    lo = size = 0
+    for hi in range(1, len(docs) + 1):
+        size += len(texts[hi - 1])
+        if hi == len(docs) or size >= CHUNK_TEXT and docs[hi] != docs[hi - 1]:
+            out = [(docs[i], blocks[i], t, s, e) for i, spans in enumerate(reader.whole(docs[lo:hi], texts[lo:hi], rounds), lo) for s, e, t in spans]
+            yield pd.DataFrame(out, columns=["document_id", "block_id", "entity_type", "span_start", "span_end"])
+            lo, size = hi, 0
+
+
+def _label_spread(rows: DataFrame, field, rounds: int) -> DataFrame:
+    """``label_blocks`` for documents of any size: blocks are read anywhere, hubs gather the messages."""
+    ids = ["document_id", "block_id"]
+    texts = cut(rows.dropDuplicates(ids))
     schema = "document_id string, block_id string, spans array<struct<s:int,e:int,t:string>>, ties array<struct<form:string,token:int,belief:array<float>,heard:array<float>>>"
 
     def label(with_heard: bool):
@@ -772,7 +985,7 @@ def label_blocks(blocks: DataFrame, learnt: Field, rounds: int = ROUNDS) -> Data
     state = cut(texts.mapInPandas(label(False), schema))
     for n in range(rounds):
         edges = state.select(*ids, F.explode("ties").alias("x")).select(*ids, "x.*")
-        told = _hubs(edges, learnt.skip.tolist(), 0.5 if n >= DAMPED else 0.0)
+        told = _hubs(edges, field.value.skip.tolist(), 0.5 if n >= DAMPED else 0.0)
         # blocks whose beliefs rest keep their labels and the messages these were made with
         moved = cut(told.groupBy(*ids).agg(F.collect_list(F.struct("token", "told")).alias("heard"), F.sum("moved").alias("moved")).filter(F.col("moved") > CHANGE).drop("moved"))
         if not moved.head(1):

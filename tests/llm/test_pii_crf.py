@@ -152,3 +152,25 @@ def test_misread_and_small_repeats_are_tied():
     forms = [form for _, form in f.ties(plain, toks, cands)]
     assert forms.count("brooks") == 3 and "the" not in forms and "44os" in forms
     assert not any(form == "ooks" for form in forms) and "Eooks" in forms
+
+
+def test_whole_documents_give_what_hubs_over_the_cluster_give(spark, tables, monkeypatch):
+    b, e = tables
+    field = P.learn(P._sample(b, e))
+    field.skip = np.array([0.75, 0.5, 0.5, 0.0, 0.0, 3.0])
+    odd = spark.createDataFrame([("d1", "odd", "Bro0ks met Brooks\nand br00ks at a.berg@corp.org, then a . berg at corp dot org"), (None, "none", "Call Anna Berg today."), ("d1", "again", "Anna Berg"), ("d1", "again", "Anna Berg")], b.schema)
+    rows = b.unionByName(odd)
+    found = lambda rounds: sorted(map(str, P.label_blocks(rows, field, rounds).collect()))
+    whole = [found(rounds) for rounds in (0, 1, P.ROUNDS)]
+    with monkeypatch.context() as m:
+        m.setattr(P, "LOCAL_TEXT", 0)  # every document counts as large
+        assert whole == [found(rounds) for rounds in (0, 1, P.ROUNDS)]
+    monkeypatch.setattr(P, "CHUNK_TEXT", 1)
+    assert whole[2] == found(P.ROUNDS) and len(whole[2]) > 400
+
+
+def test_bounded_documents_need_no_exchange_a_round(spark, tables):
+    b, e = tables
+    field = P.learn(P._sample(b, e))
+    plan = P.label_blocks(b.filter("document_id is not null"), field)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
