@@ -54,3 +54,16 @@ def test_damaged_domains_and_user_rules(spark):
     rules = [damaged_domain_rule(("acmecorp.com",)), user_rule("t", "PROJECT_CODE", r"(ticket )(QX-\d+)", before=True)]
     got = {(r.block_id, r.entity_type) for r in detect(df, rules).collect()}
     assert ("2", "PROJECT_CODE") in got and ("1", "EMAIL_ADDRESS") in got
+
+
+def test_a_pattern_runs_no_oftener_than_its_parts_need(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.functions import spans as S
+
+    df = spark.createDataFrame([("ab zqq zq",), (None,)], "text string")
+    found = df.select(S.matches(F.col("text"), "zq+").alias("x"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    assert [[tuple(y) for y in r.x] for r in found.collect()] == [[(3, 6, "zqq"), (7, 9, "zq")], []]
+    behind = df.select(S.matches(F.col("text"), "(z)(q+)", 2, 1).alias("x")).collect()
+    assert [[tuple(y) for y in r.x] for r in behind] == [[(4, 6, "qq"), (8, 9, "q")], []]
